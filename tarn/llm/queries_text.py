@@ -1,0 +1,24 @@
+"""Thin queries opN_<name>: each applies its operator to its whole table and derives the digest columns."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import quality, simhash
+from tarn.llm.work import written
+from tarn.session import table
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = written(quality.document_counts(docs.select("doc_id", "source", "text")).drop("text"), "counts")
+    judged = quality.judge(counted, quality.host_verdicts(counted))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+PLANS = {f.__name__: f for f in (op6_quality_rules, op7_simhash_near_dedup)}
+ORACLES: dict[str, str] = {}
