@@ -3,11 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import quality, simhash
+from tarn.llm import bpe, quality, simhash
 from tarn.llm.work import written
 from tarn.session import table
 
 
+def _tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), *_tokenizer())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = written(quality.document_counts(docs.select("doc_id", "source", "text")).drop("text"), "counts")
@@ -20,5 +30,5 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-PLANS = {f.__name__: f for f in (op6_quality_rules, op7_simhash_near_dedup)}
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op6_quality_rules, op7_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
