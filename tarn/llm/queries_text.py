@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, quality, simhash
+from tarn.llm import bpe, lm, quality, simhash
 from tarn.llm.work import written
 from tarn.session import table
 
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *_tokenizer())
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = written(quality.document_counts(docs.select("doc_id", "source", "text")).drop("text"), "counts")
@@ -30,5 +34,5 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op6_quality_rules, op7_simhash_near_dedup)}
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op6_quality_rules, op7_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
