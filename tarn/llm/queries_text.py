@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, lm, quality, simhash
+from tarn.llm import bpe, lm, pii, quality, simhash
 from tarn.llm.work import written
 from tarn.session import table
 
@@ -34,5 +34,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op6_quality_rules, op7_simhash_near_dedup)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op6_quality_rules, op7_simhash_near_dedup, op8_pii)}
 ORACLES: dict[str, str] = {}
