@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, lm, pii, quality, simhash
+from tarn.llm import bpe, lm, mixing, pii, quality, simhash
 from tarn.llm.work import written
 from tarn.session import table
 
@@ -22,6 +22,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.in_order(mixed).select("slot", "place", "doc_id", "source", "block", "phase_start", "release", "deadline")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = written(quality.document_counts(docs.select("doc_id", "source", "text")).drop("text"), "counts")
@@ -39,5 +44,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op6_quality_rules, op7_simhash_near_dedup, op8_pii)}
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii)}
 ORACLES: dict[str, str] = {}
