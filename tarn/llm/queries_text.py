@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, lm, mixing, pii, quality, simhash
-from tarn.llm.work import written
+from tarn.llm import bpe, lm, mixing, pii, quality, simhash, warc
+from tarn.llm.work import new_dir, written
 from tarn.session import table
 
 
@@ -44,5 +44,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "warc")
+    warc.write(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    records = warc.read(spark, path, payload=False)
+    return records.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.page_number("refers_to").alias("refers_to"))
+
+
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc)}
 ORACLES: dict[str, str] = {}
