@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, lm, mixing, pii, quality, simhash, warc
+from tarn.llm import ann, bpe, lm, mixing, pii, quality, simhash, warc
 from tarn.llm.work import new_dir, written
 from tarn.session import table
 
@@ -51,5 +51,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.page_number("refers_to").alias("refers_to"))
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest)}
 ORACLES: dict[str, str] = {}
