@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, bpe, lm, mixing, pii, quality, repeats, simhash, warc
+from tarn.llm import ann, attribution, bpe, lm, mixing, pii, quality, repeats, simhash, warc
 from tarn.llm.work import new_dir, written
 from tarn.session import table
 
@@ -23,6 +23,10 @@ def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), *_tokenizer())
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op2_repeated_strings, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest)}
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op2_repeated_strings, op3_token_counts, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest)}
 ORACLES: dict[str, str] = {}
