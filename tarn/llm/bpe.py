@@ -23,7 +23,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tarn.llm.work import let
 
@@ -95,23 +95,29 @@ class Words(dict):
         return ids
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with ids array<int>. Needs no shuffle; an Arrow batch is worked off text by text."""
-    out = docs.drop(ids)
-    schema = StructType([*out.schema.fields, StructField(ids, ArrayType(IntegerType()))])
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with ids array<int>, and if named so a column with the SHA-256 of the ids decoded again. Needs no shuffle."""
+    out = docs.drop(ids, *([decoded] if decoded else []))
+    pieces = {i: p for p, i in ranks.items()}
+    schema = StructType([*out.schema.fields, StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
         import regex
 
         find, words = regex.compile(pattern).findall, Words(ranks)
         for batch in batches:
-            at, column = [0], []
+            at, column, shas = [0], [], []
             for t in batch.column(text).cast(pa.binary()):
                 got = list(chain.from_iterable(map(words.__getitem__, find(t.as_buffer().to_pybytes().decode("utf-8", "replace"))))) if t.is_valid else []
                 column.append(pa.array(got, pa.int32()))
                 at.append(at[-1] + len(got))
+                if decoded:
+                    shas.append(sha256(b"".join(map(pieces.__getitem__, got))).hexdigest())
             flat = pa.concat_arrays(column) if column else pa.array([], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], [*batch.schema.names, ids])
+            new = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), *([pa.array(shas, pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [f.name for f in schema.fields])
 
     return out.mapInArrow(run, schema)
 
