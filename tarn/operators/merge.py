@@ -56,9 +56,9 @@ def without(pages: DataFrame, claimed: DataFrame, keys: Sequence[str]) -> DataFr
     return pages.join(claimed, list(keys), "left_anti")
 
 
-def running_end(entries: DataFrame, keys: Sequence[str], order: str, end: str) -> DataFrame:
-    """Adds seen_end: the largest end of strictly earlier rows (null for the first)."""
-    return entries.withColumn("seen_end", F.max(end).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+def running_end(entries: DataFrame, keys: Sequence[str], order: Sequence[str], end: str) -> DataFrame:
+    """Adds seen_end: the largest end of strictly earlier rows (null for the first). The order must be total."""
+    return entries.withColumn("seen_end", F.max(end).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def changed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:

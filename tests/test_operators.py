@@ -139,7 +139,7 @@ def test_sequences(spark):
     assert [r["i"] for r in merge.changed(df, ["k"], ["i"], ["s", "p"]).orderBy("i").collect()] == [0, 2, 3, 4]
     assert [r["i"] for r in merge.tail(df, ["k"], ["i"], 2).orderBy("i").collect()] == [4, 5]
     ends = spark.createDataFrame([("p", 0, 10), ("p", 1, 5), ("p", 2, 20)], "p string, o int, e int")
-    assert [r["seen_end"] for r in merge.running_end(ends, ["p"], "o", "e").orderBy("o").collect()] == [None, 10, 10]
+    assert [r["seen_end"] for r in merge.running_end(ends, ["p"], ["o"], "e").orderBy("o").collect()] == [None, 10, 10]
     runs = spark.createDataFrame([("t", "js", 1), ("t", "js", 4), ("t", "css", 2)], "task_id string, stage string, seq int")
     assert [(r["seq"], r["attempt"]) for r in merge.attempts(runs).orderBy("seq").collect()] == [(1, 1), (2, 1), (4, 2)]
 
