@@ -1,4 +1,8 @@
-"""Session settings that the operators rely on."""
+"""Session settings that the operators rely on, and the package's way to the executors."""
+
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,5 +20,22 @@ def local(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSessio
     return SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
 
 
+_ARCHIVE = "tarn_package.zip"
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, wherever they run and whatever their path: once for each context."""
+    context = spark.sparkContext
+    if _ARCHIVE in context._python_includes:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tarn-ship-"), _ARCHIVE)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import paths, scalars
+from tarn.session import ship
 
 # Markers and limits.
 MARKER = b"V1MMWX"
@@ -117,6 +118,7 @@ def read_index(data: bytes, strict: bool = False) -> tuple[list[tuple[str, int,
 
 def scan(df: DataFrame, strict: bool = False) -> DataFrame:
     """(pkg_id, ord, name, offset, size, error): a row for each entry, or one with the error."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +212,7 @@ def encode(files_by_name: dict[str, bytes]) -> bytes:
 
 def encode_table(found: DataFrame) -> DataFrame:
     """(pkg_id, path, content) to (pkg_id, content): each package's files gathered, which bounds a task by one package."""
+    ship(found.sparkSession)
 
     def pack(table: pa.Table) -> pa.Table:
         rows = dict(zip(table["path"].to_pylist(), table["content"].to_pylist(), strict=True))

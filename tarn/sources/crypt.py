@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarn.session import ship
 from tarn.sources.container import FIRST, LAST, MARKER
 
 # How the container's key is derived and how much of it is enciphered.
@@ -94,6 +95,7 @@ def decrypt(data: bytes, key_id: str | None) -> tuple[bytes | None, str | None]:
 
 def decrypted(df: DataFrame) -> DataFrame:
     """(pkg_id, content, key_id) to (pkg_id, content, error); the ids aren't passed on."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

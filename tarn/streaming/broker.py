@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tarn.session import ship
+
 # Bounds of histories and buffers, idle time, terminal types.
 HISTORY, BUFFER, IDLE_MS = 256, 64, 600_000
 TERMINAL = ("complete", "partial", "error")
@@ -44,6 +46,7 @@ def publish(history: list[dict] | None, events: list[dict]) -> tuple[list[dict]
 
 def deliveries(events: DataFrame) -> DataFrame:
     """events(task_id, seq, type, status, percent, message), streaming, to what each task's reader gets."""
+    ship(events.sparkSession)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

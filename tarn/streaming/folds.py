@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.session import ship
+
 # Attempts and backoff of the queue, thresholds of the breaker, order of terminal states.
 MAX_ATTEMPTS, BACKOFF_MS = 3, 2000
 LEASE_MS = 30 * 60 * 1000
@@ -43,6 +45,7 @@ def breaker(calls: DataFrame) -> DataFrame:
     Closed until FAILURES failures without a success between; then open for OPEN_MS after the last failure;
     then one probe at a time: SUCCESSES in a row close it, a failure opens it again. Calls end before the next.
     """
+    ship(calls.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         service, state, fails, wins, last = None, "closed", 0, 0, 0
