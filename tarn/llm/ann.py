@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.work import written
+from tarn.session import ship
 
 TOP = 20
 KEEP = 192
@@ -163,6 +164,7 @@ def _blocks(n: int, size: int) -> int:
 
 def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP, keep: int = KEEP) -> DataFrame:
     """(query_id, rank, vec_id, score) for ids where is_query(column) holds, against all rows but the query's own."""
+    ship(vectors.sparkSession)
     rows = written(usable(vectors, key, vector), "vectors")
     by_vector = Window.partitionBy("v").orderBy("id")
     first = rows.groupBy("v").agg(F.min("id").alias("rep"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.session import ship
+
 Section = tuple[str, int, int]
 _PARAGRAPH = re.compile(r"[^\n]+")
 
@@ -66,6 +68,7 @@ def attribute(token_ends: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def section_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", split: Callable[[str], list[Section]] = paragraphs) -> DataFrame:
     """(key, section, kind, start, end, n_tokens) for each section of each text. No shuffle."""
+    ship(docs.sparkSession)
     kind_of_key = docs.schema[key].dataType.simpleString()
     names = [key, "section", "kind", "start", "end", "n_tokens"]
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tarn.llm.work import let
+from tarn.session import ship
 
 #: Pieces cached by a task; at a few hundred bytes each, under 100 MB.
 CACHE = 250_000
@@ -97,6 +98,7 @@ class Words(dict):
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with ids array<int>, and if named so a column with the SHA-256 of the ids decoded again. Needs no shuffle."""
+    ship(docs.sparkSession)
     out = docs.drop(ids, *([decoded] if decoded else []))
     pieces = {i: p for p, i in ranks.items()}
     schema = StructType([*out.schema.fields, StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])])
@@ -165,6 +167,7 @@ def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): ids encoded and decoded again, without shipping them back to the JVM."""
+    ship(docs.sparkSession)
     pieces = {i: p for p, i in ranks.items()}
     kind = docs.schema[key].dataType.simpleString()
 

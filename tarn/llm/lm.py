@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.work import written
+from tarn.session import ship
 
 #: Words scored in the task: at most so many, of at most so many bytes; 15 MB.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 32
@@ -171,6 +172,7 @@ def _frequent(words: DataFrame) -> dict[bytes, int]:
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learned from rows that aren't held out."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
     counts = written(training_counts(docs.where(~F.col("held_out"))), "counts")
     words = counts.where("word is not null").select("word", "n")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tarn.llm.boosting import Boosted
+from tarn.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method adds come after those of the base.
@@ -219,6 +220,7 @@ def joined(found: list[Span]) -> str:
 
 def annotate(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (of the base), base_spans and spans; redacted replaces the text, too."""
+    ship(docs.sparkSession)
     trees, threshold = model()
     new = [*(f"n_{k}" for k in KINDS), "base_spans", "spans"]
     kept = docs.drop(*new)

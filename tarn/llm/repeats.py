@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.suffix import suffix_array
 from tarn.llm.work import written
+from tarn.session import ship
 
 SPAN = 400
 HOT = 8192
@@ -79,6 +80,7 @@ def _text(batch: pa.RecordBatch, i: int) -> Iterator[bytes]:
 
 def scan(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
     """(doc_id, text_id binary: SHA-256, n_bytes, anchors) for each row."""
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

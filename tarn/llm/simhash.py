@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.components import components
 from tarn.llm.work import written
+from tarn.session import ship
 
 SEED = 42
 SHINGLE = 3
@@ -54,6 +55,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long): fp holds the 64 bits, as a signed number."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from tarn.session import ship
+
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 32 << 20
 _STEP = 1 << 18
@@ -260,11 +262,13 @@ def plan_records(pages: DataFrame, key: str = "page_id", uri: str = "url", html:
 
 
 def write(records: DataFrame, path: str) -> None:
+    ship(records.sparkSession)
     records.sparkSession.dataSource.register(WarcSource)
     records.write.format("warc").mode("append").option("path", path).save()
 
 
 def read(spark: SparkSession, path: str, split: int = SPLIT, payload: bool = True) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("path", path).option("splitBytes", split).option("payload", str(payload).lower()).load()
 
