@@ -99,3 +99,18 @@ def accepted(facts: DataFrame) -> DataFrame:
 def stage_attempts(stages: DataFrame) -> DataFrame:
     """Stage rows with attempt and status: partial before success before failed."""
     return merge.attempts(stages).withColumn("status", scalars.stage_status(F.col("success"), F.col("partial")))
+
+
+def without_work_files(files: DataFrame, tasks: DataFrame, folders: tuple[str, ...] = ("input/", "fallback/", "raw/")) -> DataFrame:
+    """files(task_id, path) after clean-up: finished tasks lose their input, fallback and raw trees."""
+    done = tasks.where(F.col("status").isin(*TERMINAL)).select("task_id", F.lit(True).alias("__done"))
+    work = F.lit(False)
+    for f in folders:
+        work = work | F.col("path").startswith(f)
+    return files.join(done, "task_id", "left").where(F.col("__done").isNull() | ~work).drop("__done")
+
+
+def stage_metrics(facts: DataFrame, stage: str, *names: str) -> DataFrame:
+    """(task_id, stage, metric, value): a row for each number a stage reports."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("value")) for n in names)))
+    return facts.select("task_id", F.lit(stage).alias("stage"), pairs.alias("x")).select("task_id", "stage", "x.*").where("value is not null")

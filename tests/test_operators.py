@@ -156,3 +156,13 @@ def test_diagnostics(spark):
     got = [(r["class"], r["n"], r["tone"]) for r in diagnostics.in_order(diagnostics.grouped(df)).collect()]
     assert got == [("page-logic", 2, "danger"), ("other-error", 1, "danger"), ("source-parse", 4, "warning"), ("other-warn", 1, "warning")]
     assert [len(r["message"]) for r in diagnostics.short_list(df, 2).collect()] == [120, 120]
+
+
+def test_app_json_and_subpackages(spark):
+    own = {"pages": ["/a.html", 3], "odd": {"k": 1}, "subpackages": [{"root": "s", "pages": ["p", 1], "x": 2}, "no", {"pages": "none"}], "usingComponents": {"a": "b", "c": 1}, "tabBar": {"list": [{"pagePath": "/a.html"}, 5]}}
+    df = files(spark, p={"app.json": json.dumps(own)}, q={"app-config.json": json.dumps({"pages": ["z"], "subPackages": [{"root": "r"}], "window": {"t": 1}})}, r={"x.js": ""}, bad={"app.json": "{", "y.wxml": ""})
+    got = {r["pkg_id"]: json.loads(r["text"]) for r in manifest.app_json(df).collect()}
+    assert got["p"] == {**own, "pages": ["a"], "usingComponents": {"a": "b"}, "tabBar": {"list": [{"pagePath": "a"}, 5]}}
+    assert got["q"] == {"pages": ["z"], "subPackages": [{"root": "r"}], "window": {"t": 1}}
+    assert got["r"] == {"pages": ["x"]} and got["bad"] == {"pages": ["y"]}
+    assert [(r["pkg_id"], r["root"], r["pages"]) for r in manifest.subpackages(df).orderBy("pkg_id", "ord").collect()] == [("p", "s", ["p"]), ("p", "", []), ("q", "r", [])]

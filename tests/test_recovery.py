@@ -147,3 +147,10 @@ def test_formatter(spark):
     assert [r[0] for r in df.select(tasks.format_status(*(F.col(c) for c in "wrfab"))).collect()] == ["skipped", "failed", "skipped", "unchanged", "formatted"]
     runs = table(spark, "task_id string, stage string, seq int, success boolean, partial boolean", ("t", "js", 1, False, False), ("t", "js", 2, True, False), ("t", "js", 3, True, True))
     assert [(r["attempt"], r["status"]) for r in tasks.stage_attempts(runs).orderBy("seq").collect()] == [(1, "failed"), (2, "success"), (3, "partial")]
+
+
+def test_clean_up_and_metrics(spark):
+    files = table(spark, "task_id string, path string", ("a", "input/x"), ("a", "result/x"), ("b", "raw/x"))
+    t = table(spark, "task_id string, status string, pages int, n int", ("a", "failed", 3, None), ("b", "running", 1, 2))
+    assert {tuple(r) for r in tasks.without_work_files(files, t).collect()} == {("a", "result/x"), ("b", "raw/x")}
+    assert {tuple(r) for r in tasks.stage_metrics(t, "classify", "pages", "n").collect()} == {("a", "classify", "pages", 3), ("b", "classify", "pages", 1), ("b", "classify", "n", 2)}
