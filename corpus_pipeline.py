@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, mixing, pii, quality, simhash
-from tarn.llm.queries_text import _tokenizer
+from tarn.llm.plans import _tokenizer
 from tarn.llm.work import written
 from tarn.session import table
 

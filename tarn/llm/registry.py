@@ -1,6 +1,6 @@
 """The subpackage's queries, and the SQL of those that SQL can express on whole tables."""
 
-from tarn.llm.queries_text import ORACLES, PLANS
+from tarn.llm.plans import ORACLES, PLANS
 
 
 def queries() -> dict:

@@ -4,6 +4,9 @@ A table that is read more than once is written as Parquet there: it cuts the lin
 executor costs no more than the tasks it ran.
 """
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine) a temporary folder is set."""
+    """spark.checkpoint.dir. Where it is unset and Spark runs in this process (tests), a temporary folder is set, and removed at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
+        own = tempfile.mkdtemp(prefix="tarn-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

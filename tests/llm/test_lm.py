@@ -116,6 +116,6 @@ def test_slots():
 
 
 def test_better_than_the_base_on_held_out_texts(spark, sf):
-    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     rows = lm.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]

@@ -81,10 +81,40 @@ def test_hot_anchors_are_counted_instead(spark, monkeypatch):
     compare(spark, planted(9), 24)
 
 
-def test_segments(spark, monkeypatch):
+@pytest.mark.parametrize("text", ["ab" * 200, "".join(random.Random(8).choice("abcd") for _ in range(700)), "x" * 300])
+def test_segments_select_the_same_anchors(monkeypatch, text):
+    b = text.encode()
+    spread = lambda: {p: (h, a) for h, a, lo, hi in zip(*repeats.Anchors(24).find(b), strict=True) for p in range(lo, hi + 1)}
+    whole = spread()
     monkeypatch.setattr(repeats, "_SEGMENT", 50)
-    monkeypatch.setattr(repeats, "BLOCK", 200)
-    compare(spark, planted(4), 24)
+    assert spread() == whole and sorted(whole) == list(range(len(b) - 23))
+
+
+def test_blocks_in_one_process(monkeypatch):
+    """Contexts and searches cut into small blocks find what one block finds."""
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    shared = "".join(rnd.choice("abcdefgh") for _ in range(90))
+    texts = [("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 40))) + shared[rnd.randint(0, 30) :]).encode() for _ in range(30)]
+    finder = repeats.Anchors(24)
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    found = [[dict(zip(("h", "a", "lo", "hi"), map(int, x), strict=True)) for x in zip(*finder.find(t), strict=True)] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary()), pa.array(found, kind)], ["tid", "body", "shared"])
+
+    def hits():
+        rows = [r for b in repeats._contexts(24)(iter([batch])) for r in b.to_pylist()]
+        n, first = Counter(r["ck"] for r in rows), {r["ck"]: r for r in rows}
+        ordered = sorted(first.values(), key=lambda r: r["h"])
+        one = pa.RecordBatch.from_arrays([pa.array([r[c] for r in ordered], k) for c, k in (("h", pa.int64()), ("ck", pa.binary()), ("off", pa.int32()), ("ctx", pa.binary()))] + [pa.array([n[r["ck"]] for r in ordered], pa.int64())], ["h", "ck", "off", "ctx", "n"])
+        got = {r["ck"]: r["found"] for b in repeats._search(24)(iter([one])) for r in b.to_pylist()}
+        return {(r["tid"], r["base"] + s) for r in rows for f in got.get(r["ck"], ()) for s in range(f["s"], f["e"] + 1)}
+
+    whole = hits()
+    monkeypatch.setattr(repeats, "BLOCK", 100)
+    assert hits() == whole
+    seen = Counter(t[i : i + 24] for t in texts for i in range(len(t) - 23))
+    assert whole == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 23) if seen[t[i : i + 24]] > 1}
 
 
 def test_edge_texts(spark):

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import queries_text, warc
+from tarn.llm import plans, warc
 
 ROWS = [
     (5, "http://a", "same"), (3, "http://b", "same"), (9, None, "same"), (1, "http://c\r\nX: y", None), (2, "u", ""), (4, "u", "é \r\n\r\n \U0001f600"), (6, "u", "x" * 300_000),
@@ -55,7 +55,7 @@ def test_empty(spark, tmp_path):
 
 def test_pages(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
-    assert sorted(map(tuple, queries_text.op9_warc(spark, sf).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, plans.op9_warc(spark, sf).collect()), key=str) == brute(rows)
 
 
 def test_every_cut_gives_each_record_once():
