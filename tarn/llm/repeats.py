@@ -246,8 +246,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     each = texts.select("tid", F.explode("anchors").alias("x")).select("tid", "x.*")
-    often = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    shared = each.join(often, "h").groupBy("tid").agg(F.collect_list(F.struct("h", "a", "lo", "hi")).alias("shared"))
+    # as a table with an exchange of its own, so that adaptive execution can split the partition of a hot anchor
+    often = written(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "often")
+    shared = each.join(often.hint("merge"), "h").groupBy("tid").agg(F.collect_list(F.struct("h", "a", "lo", "hi")).alias("shared"))
     shared = shared.join(texts.select("tid", "text_id"), "tid")
 
     bodies = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("body"))
