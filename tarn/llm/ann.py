@@ -1,6 +1,7 @@
 """Maximum-inner-product search: score-aware product quantisation, four-bit table scans, exact reranking.
 
-Index: vectors are cut into subspaces of two dimensions, each coded by one of 16 centroids. Codebooks and codes
+Index: vectors are cut into subspaces of two dimensions, each coded by one of 16 centroids; what that leaves of a
+vector is coded the same way again, LEVELS times in all, which tells vectors apart that lie close together. First codebooks and codes
 minimise the anisotropic loss |r|^2 + (eta - 1) (u.r)^2 of a vector's residual r, u its direction: error along
 the vector changes large inner products most, so it costs eta times as much. Codebooks are fitted on the driver
 to FIT vectors at most, those with the smallest id hashes; every vector is coded.
@@ -29,10 +30,10 @@ from tarn.llm.work import written
 from tarn.session import ship
 
 TOP = 20
-KEEP = 192
+KEEP = 400
 FIT = 16_384
 CODE_BLOCK, QUERY_BLOCK = 32_768, 512
-WIDTH, CENTROIDS = 2, 16
+WIDTH, CENTROIDS, LEVELS = 2, 16, 3
 #: Cosine above which scores matter; eta follows from it and the dimension.
 THRESHOLD = 0.2
 
@@ -42,11 +43,11 @@ class Quantiser:
         self.books, self.dim, self.eta = books, dim, eta  # books: subspace, centroid, WIDTH
 
     @classmethod
-    def fit(cls, x: np.ndarray, rounds: int = 8, seed: int = 0) -> "Quantiser":
+    def fit(cls, x: np.ndarray, rounds: int = 8, seed: int = 0, aware: bool = True) -> "Quantiser":
         n, dim = x.shape
         parts = _parts(x)
         m = parts.shape[1]
-        rnd, eta = np.random.default_rng(seed), max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
+        rnd, eta = np.random.default_rng(seed), max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)) if aware else 1.0
         books = np.stack([parts[rnd.integers(0, n, CENTROIDS), j] for j in range(m)]).astype(np.float32)
         q = cls(books, dim, 1.0)
         for step in range(2 * rounds):
@@ -92,12 +93,42 @@ class Quantiser:
             r[:, j] = parts[:, j] - self.books[j][codes[:, j]]
             along += (u[:, j] * r[:, j]).sum(-1) - own
 
+    def left(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes leave of the vectors."""
+        return x - np.concatenate([self.books[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)[:, : x.shape[1]]
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """Scores of each byte of packed codes: two subspaces share a table of 256."""
         t = np.einsum("md,mkd->mk", _parts(query[None])[0], self.books).astype(np.float32)
         return (t[0::2, :, None] + t[1::2, None, :]).reshape(len(t) // 2, 256)
 
 
+class Levels:
+    """A score-aware quantiser, and plain ones for what those before leave."""
+
+    def __init__(self, levels: list[Quantiser]):
+        self.levels = levels
+
+    @classmethod
+    def fit(cls, x: np.ndarray, levels: int = LEVELS) -> "Levels":
+        out = []
+        for k in range(levels):
+            out.append(Quantiser.fit(x, aware=not k))
+            x = out[-1].left(x, out[-1].codes(x))
+        return cls(out)
+
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        out = []
+        for q in self.levels:
+            codes = q.codes(x)
+            out.append(_pack(codes))
+            x = q.left(x, codes)
+        return np.concatenate(out, axis=1)
+
+    def tables(self, query: np.ndarray) -> np.ndarray:
+        return np.concatenate([q.tables(query) for q in self.levels])
+
+
 def _parts(x: np.ndarray) -> np.ndarray:
     """n, subspaces (even in number), WIDTH; zeros fill the last ones."""
     n, dim = x.shape
@@ -129,7 +160,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _scan(q: "Quantiser", keep: int):
+def _scan(q: Levels, keep: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query": [], "block": [], "best": []}
         if left.num_rows and right.num_rows:
@@ -177,12 +208,12 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(FIT).select("v").toArrow()
     if not sample.num_rows:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    q = Quantiser.fit(_vectors(sample.column("v").combine_chunks()))
+    q = Levels.fit(_vectors(sample.column("v").combine_chunks()))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                packed = _pack(q.codes(_vectors(batch.column(1))))
+                packed = q.packed(_vectors(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], ["rep", "code"])
 
     n_codes, n_queries = reps.count(), asked.count()
