@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star contraction.
 
 Each round costs two aggregates and two joins over the edges left. Every aggregate combines before its
-shuffle, and every join lets adaptive execution split a hub's partition, so a star of any size is
-spread over tasks. Edges stay in tables; only a count and a checksum reach the driver.
+shuffle, and joins are sort-merge joins of two tables, each behind an exchange of its own, in which adaptive execution
+splits a hub's partition: a star of any size is spread over tasks. Edges stay in tables; only a count and a checksum reach the driver.
 """
 
 from pyspark.sql import DataFrame
@@ -29,12 +29,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node of its neighbourhood."""
     both = e.select("u", "v").union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").selectExpr("v as u", "m as v")
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = e.join(least.hint("merge"), "u").selectExpr("v as u", "m as v")
     return moved.union(least.selectExpr("u", "m as v")).where("u <> v")
