@@ -32,8 +32,31 @@ def downloadable(has_summary: Column, ready: Column, status: Column) -> Column:
 
 
 def packaging_state(status: Column, archive_size: Column) -> Column:
-    """ready once an archive exists; pending while the task runs; else unavailable."""
-    return F.when(archive_size > 0, "ready").when(status.isin(*TERMINAL), "unavailable").otherwise("pending")
+    """ready once an archive exists; unavailable for a failed task; else pending."""
+    return F.when(archive_size > 0, "ready").when(status == "failed", "unavailable").otherwise("pending")
+
+
+def ui_state(status: Column) -> Column:
+    """What a client shows: terminal states by name, processing for any other, idle without one."""
+    return F.when(status.isin(*TERMINAL), status).when(F.coalesce(status, F.lit("")) != "", "processing").otherwise("idle")
+
+
+def recovery_reports(tasks: DataFrame, profiles: DataFrame, scores: DataFrame, stages: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(task_id, report JSON): a task with what is known of it; parts that aren't there are left out.
+
+    profiles and scores have a row a task; stages(task_id, seq, stage, success, partial, engine, ...) are listed in
+    order with their public engines; summaries are those of artifact_summary. What the score measures is stated.
+    """
+    whole = lambda df: df.select("task_id", F.struct(*(c for c in df.columns if c != "task_id")).alias("x"))
+    run = stage_attempts(stages).withColumn("engine", scalars.public_engine(F.coalesce("engine", F.lit(""))))
+    listed = run.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("seq", "stage", "status", "attempt", "engine"))).alias("stages"))
+    joined = tasks.select("task_id", "status").join(whole(profiles).withColumnRenamed("x", "profile"), "task_id", "left").join(whole(scores).withColumnRenamed("x", "score"), "task_id", "left")
+    joined = joined.join(listed, "task_id", "left").join(summaries, "task_id", "left")
+    packaging = F.struct(packaging_state(F.col("status"), F.col("archive_size")).alias("status"), F.coalesce("ready", F.lit(False)).alias("downloadReady"), F.when(F.col("archive_size") > 0, F.col("archive_size")).alias("archiveSize"))
+    artifacts = F.when(F.col("file_count").isNotNull(), F.struct(F.col("file_count").alias("fileCount"), F.col("sources").alias("sourceBreakdown")))
+    basis = F.struct(F.lit("static-artifact-quality").alias("basis"))
+    body = F.struct(F.col("task_id").alias("taskId"), "status", F.lit("live-task").alias("snapshotScope"), "profile", "score", basis.alias("scoreDisclosure"), F.col("stages").alias("stageResults"), artifacts.alias("artifacts"), packaging.alias("packaging"))
+    return joined.select("task_id", F.to_json(body).alias("report"))
 
 
 def public_tasks(tasks: DataFrame) -> DataFrame:

@@ -117,8 +117,8 @@ def test_projections(spark):
     assert rows_of(tasks.events(df), "task_id", "type") == {"a": "error", "b": "complete", "c": "progress"}
     req = table(spark, "task_id string, name string", ("a", "report"), ("../a", "report"), ("a", "secrets"), ("..", "profile"))
     assert [(r["task_id"], r["file"]) for r in tasks.named_report(req).collect()] == [("a", "recovery-report.json")]
-    states = table(spark, "s string, n long", ("running", None), ("failed", 0), ("partial", 9)).select(tasks.packaging_state(F.col("s"), F.col("n"))).collect()
-    assert [r[0] for r in states] == ["pending", "unavailable", "ready"]
+    states = table(spark, "s string, n long", ("running", None), ("failed", 0), ("partial", 9), ("completed", 0)).select(tasks.packaging_state(F.col("s"), F.col("n"))).collect()
+    assert [r[0] for r in states] == ["pending", "unavailable", "ready", "pending"]
 
 
 def rows_of(df, key, value):
@@ -154,3 +154,18 @@ def test_clean_up_and_metrics(spark):
     t = table(spark, "task_id string, status string, pages int, n int", ("a", "failed", 3, None), ("b", "running", 1, 2))
     assert {tuple(r) for r in tasks.without_work_files(files, t).collect()} == {("a", "result/x"), ("b", "raw/x")}
     assert {tuple(r) for r in tasks.stage_metrics(t, "classify", "pages", "n").collect()} == {("a", "classify", "pages", 3), ("b", "classify", "pages", 1), ("b", "classify", "n", 2)}
+
+
+def test_reports(spark):
+    import json
+
+    t = table(spark, "task_id string, status string", ("a", "partial"), ("b", "failed"))
+    profiles, scores = table(spark, "task_id string, variant string", ("a", "game")), table(spark, "task_id string, overall int", ("a", 70))
+    stages = table(spark, "task_id string, seq int, stage string, success boolean, partial boolean, engine string", ("a", 2, "js", True, False, "native"), ("a", 1, "unpack", True, True, "/opt/x"))
+    summaries = tasks.artifact_summary(t, table(spark, "task_id string, path string, source string", ("a", "x", "")), table(spark, "task_id string, archive_size long", ("a", 5)))
+    got = {r["task_id"]: json.loads(r["report"]) for r in tasks.recovery_reports(t, profiles, scores, stages, summaries).collect()}
+    assert got["a"]["profile"] == {"variant": "game"} and got["a"]["score"] == {"overall": 70} and got["a"]["packaging"] == {"status": "ready", "downloadReady": True, "archiveSize": 5}
+    assert [(x["stage"], x["status"], x["engine"]) for x in got["a"]["stageResults"]] == [("unpack", "partial", ""), ("js", "success", "native")]
+    assert got["b"]["packaging"]["status"] == "unavailable" and "profile" not in got["b"] and got["b"]["artifacts"]["fileCount"] == 0
+    df = table(spark, "s string", ("completed",), ("queued",), ("",), (None,))
+    assert [r[0] for r in df.select(tasks.ui_state(F.col("s"))).collect()] == ["completed", "processing", "idle", "idle"]
