@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, mixing, pii, quality, simhash
+from tarn.llm import bpe, copies, mixing, pii, quality
 from tarn.llm.plans import _tokenizer
 from tarn.llm.work import written
 from tarn.session import table
@@ -26,9 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id. Of rows with one id one stays;
-    rows without an id belong to no group and stay."""
-    found = simhash.near_duplicates(docs)
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more): the one with
+    the smallest id. Of rows with one id one stays; rows without an id belong to no group and stay."""
+    found = copies.near_copies(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).union(docs.where("doc_id is null"))
