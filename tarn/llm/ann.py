@@ -7,8 +7,9 @@ the vector changes large inner products most, so it costs eta times as much. Cod
 to FIT vectors at most, those with the smallest id hashes; every vector is coded.
 
 Search: distinct query vectors and codes meet in blocks (QUERY_BLOCK by CODE_BLOCK), so no task holds more than
-one of each. A scan adds up table entries (two four-bit codes share a table of 256) and passes on the KEEP best of its block;
-blocks are merged 64 at a time. Survivors are joined to their vectors and ranked by the exact inner product.
+one of each. A scan adds up table entries (two four-bit codes share a table of 256). A code comes with a bound of what it leaves
+of its vector, so a score has an error bound; every vector whose score plus bound reaches the block's TOP + 1st best lower
+bound is ranked by the exact inner product, however many they are. No neighbour is lost, and a block passes on TOP + 1.
 
 Equal vectors are one entry. Only the TOP + 1 smallest ids of an entry can reach a result (larger ones lose the
 tie, one may be the query's own), so that many are kept for the answer, cut before the shuffle; this loses nothing.
@@ -25,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from tarn.llm.work import written
 from tarn.session import ship
 
 TOP = 20
-KEEP = 400
 FIT = 16_384
 CODE_BLOCK, QUERY_BLOCK = 32_768, 512
 WIDTH, CENTROIDS, LEVELS = 2, 16, 3
@@ -117,13 +118,18 @@ class Levels:
             x = out[-1].left(x, out[-1].codes(x))
         return cls(out)
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        out = []
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Packed codes, and for each vector a bound of the score's error for a query of length one."""
+        out, size, terms = [], np.zeros(len(x)), 0
         for q in self.levels:
             codes = q.codes(x)
             out.append(_pack(codes))
-            x = q.left(x, codes)
-        return np.concatenate(out, axis=1)
+            rest = q.left(x, codes)
+            size += np.linalg.norm(x, axis=1) + np.linalg.norm(rest, axis=1)  # no less than the length of what is coded
+            terms += codes.shape[1]
+            x = rest
+        rounding = (terms + 8) * 2.0**-22  # of single-precision tables and sums
+        return np.concatenate(out, axis=1), np.linalg.norm(x, axis=1) * (1 + 1e-9) + rounding * size
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         return np.concatenate([q.tables(query) for q in self.levels])
@@ -160,31 +166,40 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _scan(q: Levels, keep: int):
+def _products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, added up in the order of the components."""
+    out = np.zeros(len(x))
+    for j, w in enumerate(query):
+        out += x[:, j].astype(np.float64) * w
+    return out
+
+
+def _scan(q: Levels, top: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "block": [], "best": []}
+        out = {"query": [], "rep": [], "score": []}
         if left.num_rows and right.num_rows:
             ids = right.column("rep").to_numpy()
-            order = np.argsort(ids)  # a stable cut then gives ties to the smaller id
-            ids = ids[order]
+            order = np.argsort(ids)  # a stable sort then gives ties to the smaller id
+            ids, error = ids[order], right.column("error").to_numpy()[order]
             packed = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.copy()
-            block = right.column("block")[0].as_py()
+            exact = right.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
             for query, v in zip(left.column("query").to_pylist(), _vectors(left.column("v").combine_chunks()), strict=True):
-                table = q.tables(v)
-                score = table[0][packed[0]]
-                for t, codes in zip(table[1:], packed[1:], strict=True):
-                    score += t[codes]
-                if len(ids) > keep:
-                    cut = np.partition(score, len(ids) - keep)[len(ids) - keep]
-                    above = np.flatnonzero(score > cut)
-                    best = np.concatenate([above, np.flatnonzero(score == cut)[: keep - len(above)]])
-                else:
-                    best = np.arange(len(ids))
-                out["query"].append(query)
-                out["block"].append(block)
-                out["best"].append([{"score": float(s), "rep": int(i)} for s, i in zip(score[best], ids[best], strict=True)])
-        kinds = pa.schema([("query", pa.int64()), ("block", pa.int64()), ("best", pa.list_(pa.struct([("score", pa.float32()), ("rep", pa.int64())])))])
-        return pa.Table.from_pydict(out, kinds)
+                near = np.arange(len(ids))
+                if len(ids) > top:
+                    table = q.tables(v)
+                    score = table[0][packed[0]]
+                    for t, codes in zip(table[1:], packed[1:], strict=True):
+                        score += t[codes]
+                    bound = error * np.linalg.norm(v)
+                    low = score - bound
+                    cut = np.partition(low, len(low) - top)[len(low) - top]
+                    near = np.flatnonzero(~(score + bound < cut))  # what overflows stays
+                product = _products(exact[near], v)
+                best = np.argsort(-product, kind="stable")[:top]
+                out["query"] += [query] * len(best)
+                out["rep"] += ids[near[best]].tolist()
+                out["score"] += product[best].tolist()
+        return pa.Table.from_pydict(out, pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())]))
 
     return run
 
@@ -193,7 +208,7 @@ def _blocks(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP, keep: int = KEEP) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) for ids where is_query(column) holds, against all rows but the query's own."""
     ship(vectors.sparkSession)
     rows = written(usable(vectors, key, vector), "vectors")
@@ -213,27 +228,18 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                packed = q.packed(_vectors(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], ["rep", "code"])
+                packed, error = q.packed(_vectors(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(error, pa.float64())], ["rep", "w", "code", "error"])
 
     n_codes, n_queries = reps.count(), asked.count()
     code_blocks, query_blocks = _blocks(n_codes, CODE_BLOCK), _blocks(n_queries, QUERY_BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    codes = written(reps.select("rep", "v").mapInArrow(code, "rep long, code binary"), "codes")
+    codes = written(reps.select("rep", F.col("v").alias("w")).mapInArrow(code, StructType([StructField("rep", LongType()), StructField("w", reps.schema["v"].dataType), StructField("code", BinaryType()), StructField("error", DoubleType())])), "codes")
     codes = codes.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(code_blocks))).withColumn("group", every(query_blocks))
     sent = asked.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(query_blocks))).withColumn("block", every(code_blocks))
-    found = sent.groupBy("group", "block").cogroup(codes.groupBy("group", "block")).applyInArrow(_scan(q, keep), "query long, block long, best array<struct<score:float,rep:long>>")
-    best = lambda c: F.slice(F.sort_array(F.transform(c, lambda x: F.struct((-x["score"]).alias("score"), x["rep"].alias("rep")))), 1, keep)
-    n = code_blocks
-    while n > 1:
-        n = _blocks(n, 64)
-        merged = found.groupBy("query", F.floor(F.col("block") / 64).cast("long").alias("block")).agg(F.flatten(F.collect_list("best")).alias("best"))
-        found = merged.withColumn("best", F.transform(best(F.col("best")), lambda x: F.struct((-x["score"]).alias("score"), x["rep"].alias("rep"))))
-
-    pairs = found.select("query", F.explode("best.rep").alias("rep")).join(reps, "rep").join(asked.withColumnRenamed("v", "w"), "query")
-    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    found = sent.groupBy("group", "block").cogroup(codes.groupBy("group", "block")).applyInArrow(_scan(q, top + 1), "query long, rep long, score double")
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    near = pairs.select("query", "rep", product.alias("score")).withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= top + 1)
+    near = found.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= top + 1)
     items = near.join(members, "rep").withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("k") <= top + 1)
     items = written(items.select("query", F.col("id").alias("vec_id"), "score"), "nearest")
     answers = queries.join(items, "query").where("query_id <> vec_id")

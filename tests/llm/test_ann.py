@@ -90,3 +90,13 @@ def test_score_aware_codes_lose_less_of_large_products():
     back = lambda c: np.stack([q.books[j][c[:, j]] for j in range(c.shape[1])], 1).reshape(len(x), -1)[:, :64]
     along = lambda c: abs(((x - back(c)) * x).sum(1)).mean()
     assert along(q.codes(x)) < along(plain.codes(x))
+
+
+def test_many_nearly_equal_vectors_keep_all_neighbours(spark):
+    rnd = np.random.default_rng(2)
+    base = rnd.normal(size=16)
+    near = base + 1e-4 * rnd.normal(size=(2000, 16))
+    data = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(np.concatenate([near, rnd.normal(size=(500, 16))]))]
+    query = lambda i: i % 100 == 0
+    got = sorted(map(tuple, ann.nearest(spark.createDataFrame(data, SCHEMA), query).collect()))
+    assert got == brute(data, is_query=query)
