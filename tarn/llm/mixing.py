@@ -3,13 +3,13 @@
 Each source's rows, in an order fixed by a hash, form blocks of BLOCK rows. Time is counted in slots of one
 block. With weight w, block k of a source is released at floor(k / w) and due at ceil((k + 1) / w);
 earliest-deadline-first over released blocks then keeps every source within one block of weight times time.
-Weights are rounded to q / PERIOD (largest remainders, at least one), so the schedule repeats every PERIOD
-slots: one period is laid out on the driver and each row computes its slot from its block's number. When a
+Weights are taken as exact fractions and never rounded to a period. When a
 source runs out, a new phase starts with the weights of the others scaled up; the guarantee holds within each
 phase. Every row is placed exactly once: nothing is dropped or repeated.
 
-The driver holds one count and one weight for each source and at most sources * PERIOD slot numbers (bounded
-by MAX_SOURCES); these are what is broadcast. A hot source is cut into buckets of about BUCKET rows by hash;
+The driver holds one count and one weight for each source and lays the blocks out one after the other, in time
+N log S for N blocks of S sources, in parts of PART that it writes to a table. Rows meet it, and the counts, in joins: Spark
+broadcasts a table below its own threshold and shuffles beyond. A hot source is cut into buckets of about BUCKET rows by hash;
 row numbers are bucket offsets, themselves summed in two levels, plus the rank within the bucket.
 
 Defined results: a null source is a source of its own. Sources without a given weight share the least weight
@@ -18,26 +18,26 @@ An empty table gives an empty table. Columns of the input stay; one with the nam
 """
 
 import heapq
-import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.work import let
+from tarn.llm.work import new_dir, written
 
 BLOCK = 32
 PERIOD = 1024
+PART = 1 << 17
 MAX_SOURCES = 2000
 BUCKET, SUPER = 128, 1024
 #: Default target weights: rows to this power, between natural shares (1) and equal ones (0).
 TEMPERATURE = 0.5
 
-_PLAN = "array<struct<key:string,buckets:long,phases:array<struct<first:long,quanta:long,period:long,at:long,slots:array<int>>>>>"
-
 
 def quanta(weights: Mapping[str, float], period: int = PERIOD) -> tuple[dict[str, int], int]:
-    """Weights as whole parts of a period: largest remainders, one part at least."""
+    """Weights as whole parts of a period: largest remainders, one part at least. The schedule itself doesn't round."""
     period = max(period, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
@@ -52,36 +52,67 @@ def quanta(weights: Mapping[str, float], period: int = PERIOD) -> tuple[dict[str
 
 
 def pfair_period(parts: Mapping[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, by earliest deadline among released blocks."""
-    waiting = [(0, -(-period // q), s, 0) for s, q in sorted(parts.items())]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
+    """Slots of each source's blocks in one period of whole parts."""
     slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, due, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, k))
-        _, s, k = heapq.heappop(ready)
+    for s, *_, t in islice(schedule({s: q + 1 for s, q in parts.items()}, parts), period):
         slots[s].append(t)
-        if k + 1 < parts[s]:
-            heapq.heappush(waiting, ((k + 1) * period // parts[s], -(-(k + 2) * period // parts[s]), s, k + 1))
     return slots
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> dict[str, list[dict]]:
-    """For each source its phases: first block, quanta, period, first slot, and slots in a period."""
-    left, at, out = {s: n for s, n in blocks.items() if n}, 0, {s: [] for s in blocks}
-    while left:
-        parts, whole = quanta({s: weights[s] for s in left}, period)
-        slots = pfair_period(parts, whole)
-        length = 1 + min((n - 1) // parts[s] * whole + slots[s][(n - 1) % parts[s]] for s, n in left.items())
-        for s in list(left):
-            out[s].append({"first": blocks[s] - left[s], "quanta": parts[s], "period": whole, "at": at, "slots": slots[s]})
-            left[s] -= length // whole * parts[s] + sum(x < length % whole for x in slots[s])
-            if not left[s]:
-                del left[s]
-        at += length
-    return out
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in exactly the same proportions."""
+    ratios = {s: float(w).as_integer_ratio() for s, w in weights.items()}
+    whole = max((d for _, d in ratios.values()), default=1)  # denominators are powers of two
+    return {s: n * (whole // d) for s, (n, d) in ratios.items()}
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase_start, release, deadline, slot) in the order of slots: earliest deadline among released blocks.
+
+    A source enters a phase's heaps with its first block in it. Until then it stands among the fresh ones, whose first
+    deadlines have the order of their weights, so a new phase moves only sources that the last one served.
+    """
+    part = exact({s: weights[s] for s, n in blocks.items() if n})
+    total, first, at, t = sum(part.values()), dict.fromkeys(part, 0), 0, 0
+    fresh = [(-w, s) for s, w in part.items()]
+    heapq.heapify(fresh)
+    waiting: list[tuple[int, int, str, int]] = []
+    ready: list[tuple[int, int, str, int]] = []
+    while part:
+        while waiting and waiting[0][0] <= t:
+            _, due, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, -part[s], s, k))
+        new = fresh and (at - (total // fresh[0][0]), *fresh[0], 0)  # the weight is negative, so this rounds up
+        if new and (not ready or new < ready[0]):
+            heapq.heappop(fresh)
+            due, _, s, k = new
+        else:
+            due, _, s, k = heapq.heappop(ready)
+        yield s, first[s] + k, at, at + k * total // part[s], due, t
+        t += 1
+        if first[s] + k + 1 < blocks[s]:
+            heapq.heappush(waiting, (at + (k + 1) * total // part[s], at - (-(k + 2) * total // part[s]), s, k + 1))
+            continue
+        total -= part.pop(s)
+        at = t
+        for *_, x, k in waiting + ready:  # the next block of each source that this phase served
+            first[x] += k
+            heapq.heappush(fresh, (-part[x], x))
+        waiting, ready = [], []
+
+
+def _laid_out(spark: SparkSession, blocks: Mapping[str, int], weights: Mapping[str, float]) -> DataFrame:
+    """schedule() as a table, written in parts."""
+    path, slots = new_dir(spark, "schedule"), schedule(blocks, weights)
+    schema = "__key string, block long, phase_start long, release long, deadline long, slot long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    part, done = list(islice(slots, PART)), False
+    while part or not done:
+        kinds = pa.schema([(c, pa.string() if c == "__key" else pa.int64()) for c in names])
+        rows = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*part, strict=True)) or [[]] * len(names), kinds.types, strict=True)], schema=kinds)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        part, done = list(islice(slots, PART)), True
+    return spark.read.schema(schema).parquet(path)
 
 
 def _key(source: str) -> Column:
@@ -93,7 +124,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     new = ["block", "phase_start", "release", "deadline", "slot", "place"]
     docs = docs.drop(*new)
     keyed = docs.withColumn("__key", _key(source))
-    counts = {r["__key"]: r["n"] for r in keyed.groupBy("__key").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    counted = written(keyed.groupBy("__key").agg(F.count("*").alias("n")), "sources")
+    counts = {r["__key"]: r["n"] for r in counted.limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:
@@ -103,12 +135,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
         if not given or min(given.values()) <= 0:
             raise ValueError("weights must be positive")
         target = {s: given.get(s, min(given.values())) for s in counts}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, target)
-    rows = [{"key": s, "buckets": -(-n // BUCKET), "phases": plan[s]} for s, n in counts.items()]
-    plans = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), _PLAN))).withColumnsRenamed({"key": "__key", "buckets": "__buckets", "phases": "__phases"}))
+    plan = _laid_out(docs.sparkSession, {s: -(-n // block) for s, n in counts.items()}, target)
 
     order = [F.col(key), F.xxhash64(text)] if text else [F.col(key)]
-    dealt = keyed.join(plans.select("__key", "__buckets"), "__key").withColumn("__h", F.xxhash64(F.col(key))).withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.col("__buckets")))
+    dealt = keyed.join(counted.select("__key", F.ceil(F.col("n") / BUCKET).alias("__buckets")), "__key").withColumn("__h", F.xxhash64(F.col(key))).withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.col("__buckets")))
     sizes = dealt.groupBy("__key", "__bucket").agg(F.count("*").alias("n")).withColumn("__super", F.floor(F.col("__bucket") / SUPER))
     supers = sizes.groupBy("__key", "__super").agg(F.sum("n").alias("m"))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
@@ -117,24 +147,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     offsets = offsets.select("__key", "__bucket", (F.col("n") + F.col("m")).alias("__offset"))
 
     ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy("__h", *order)) - 1)
-    placed = ranked.join(offsets, ["__key", "__bucket"]).join(plans.select("__key", "__phases"), "__key")
+    placed = ranked.join(offsets, ["__key", "__bucket"])
     number = (F.col("__offset") + F.col("__rank")).cast("long")
     placed = placed.withColumn("block", F.floor(number / block)).withColumn("place", F.pmod(number, F.lit(block)).cast("int"))
-    return placed.withColumn("__slot", _slot(F.col("__phases"), F.col("block"))).select(*docs.columns, "block", *(F.col(f"__slot.{c}").alias(c) for c in new[1:5]), "place")
-
-
-def _slot(all_phases: Column, block: Column) -> Column:
-    def at(p: Column) -> Column:
-        k = block - p["first"]
-        return F.struct(
-            p["at"].alias("phase_start"),
-            (p["at"] + F.floor(k * p["period"] / p["quanta"])).alias("release"),
-            (p["at"] + F.ceil((k + 1) * p["period"] / p["quanta"])).alias("deadline"),
-            (p["at"] + F.floor(k / p["quanta"]) * p["period"] + F.get(p["slots"], F.pmod(k, p["quanta"]).cast("int"))).cast("long").alias("slot"),
-        )
-
-    started = F.filter(all_phases, lambda p: p["first"] <= block)
-    return let(F.element_at(started, -1), at)
+    return placed.join(plan, ["__key", "block"]).select(*docs.columns, *new)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

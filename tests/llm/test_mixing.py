@@ -77,3 +77,23 @@ def test_edge_rows(spark):
 def test_bad_weights(spark):
     with pytest.raises(ValueError):
         mixing.mix(frame(spark), {"a": 0})
+
+
+def test_long_schedules_follow_the_target_itself():
+    rnd = random.Random(5)
+    for weights in ({"a": 1.0, "b": 0.0001, "c": 0.3711}, {f"s{i}": rnd.random() ** 4 + 1e-5 for i in range(25)}):
+        total, taken, order = sum(weights.values()), Counter(), []
+        for s, k, phase, release, deadline, t in mixing.schedule(dict.fromkeys(weights, 10**6), weights):
+            assert t == len(order) and k == taken[s] and phase == 0 and release <= t < deadline
+            taken[s] += 1
+            order.append(s)
+            assert abs(taken[s] - (t + 1) * weights[s] / total) < 1 + 1e-6 and abs(taken[s] - 1 - t * weights[s] / total) < 1 + 1e-6
+            if t == 100_000:
+                break
+        assert all(abs(taken[s] - len(order) * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_weight_below_a_thousandth(spark):
+    rows = [(i, "t", "hot") for i in range(6000)] + [(9000 + i, "t", "rare") for i in range(20)]
+    got = mixing.mix(frame(spark, rows), {"hot": 1, "rare": 0.0001}, block=1).collect()
+    assert sum(r["source"] == "rare" and r["slot"] < 5900 for r in got) <= 1
