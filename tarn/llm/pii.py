@@ -77,12 +77,12 @@ def _order(s: Span) -> tuple[int, int, int]:
     return s[1], ADDED_KINDS.index(s[0]), s[2]
 
 
-#: Generators: kind, pattern, and a test that a text must pass before it is searched. Quantifiers are bounded.
+#: Generators: kind, pattern, and a test that every text with a match passes. Quantifiers are bounded.
 _GENERATORS = [
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,5}", re.I), re.compile(r"\(at\)|\[at\]|\{at\}| dot | @|@ ", re.I)),
+    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,5}", re.I), re.compile(r"(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2}", re.I)),
     ("phone", re.compile(r"(?<![\w.+-])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-]{0,2}[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-])"), _DIGIT),
     ("card", re.compile(r"(?<![\w.])(?:[0-9]{4}[ ._/-]{1,3}){3}[0-9]{1,7}(?![\w])"), _DIGIT),
-    ("ip", re.compile(r"(?<![\w:])(?:[0-9a-f]{1,4}:){2,7}(?::?[0-9a-f]{1,4}){1,7}(?![\w:])", re.I), re.compile(r"[0-9a-fA-F]:[0-9a-fA-F:]")),
+    ("ip", re.compile(r"(?<![\w:])(?:(?:[0-9a-f]{1,4}:){2,7}(?::?[0-9a-f]{1,4}){1,7}|(?:[0-9a-f]{1,4})?::[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})(?![\w:])", re.I), re.compile(r"[0-9a-f]:[0-9a-f:]|::[0-9a-f]", re.I)),
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![\w])"), re.compile(r"\[\.\]|\(\.\)|\[dot\]")),
     ("account", re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"), _DIGIT),
     ("national", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _DIGIT),

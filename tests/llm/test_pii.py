@@ -94,3 +94,24 @@ def test_held_out_accuracy():
 def test_added_only_in_few_clean_documents(spark, sf):
     rows = pii.annotate(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert sum(r["spans"] != r["base_spans"] for r in rows) <= 2
+
+
+def test_every_positive_form_is_proposed():
+    rnd = random.Random(11)
+    for text, span, good in (pii._synthetic(rnd) for _ in range(6000)):
+        if good:
+            text = text[: span[2]]  # a word glued to the span isn't part of the form
+            assert any(k == span[0] and a <= span[1] and b >= span[2] for k, a, b in pii.generated(text)), (text, span)
+
+
+@pytest.mark.parametrize("text", ["jane at example (dot) com", "jane@example[dot]com", "jane@example(dot)com", "JANE AT EXAMPLE {DOT} COM", "fe80::a:b:c", "::1", "2001:db8::7", "1:2:3:4:5:6:7:8"])
+def test_proposed(text):
+    kind = "ip" if ":" in text else "email"
+    assert (kind, 0, len(text)) in pii.generated(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "f", "1", "22", ":", "::", ".", " ", "@", " at ", "(at)", "{dot}", " dot ", "(dot)", "[.]", "-", "AT", "x1"]), max_size=14).map("".join))
+def test_pretests_are_necessary(text):
+    for _, pattern, test in pii._GENERATORS:
+        assert test.search(text) or not pattern.search(text)
