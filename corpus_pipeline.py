@@ -41,13 +41,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair schedule: files and rows follow its slots."""
+    """All documents, in the order of the Pfair schedule: files and rows follow its slots. Readers of several
+    files needn't keep their order, so byte_bpe restores it from the same rows."""
     return mixing.in_order(mixing.mix(docs, text="text")).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their number, and the digest of the ids decoded again."""
-    encoded = bpe.encode(docs, *_tokenizer(), ids="ids", decoded="decoded_sha256")
+    """Token ids of each document, their number, and the digest of the ids decoded again, in the order of the
+    Pfair schedule. It depends on the rows alone, so that it is the one of mixing_sources."""
+    mixed = mixing.in_order(mixing.mix(docs, text="text"), docs.rdd.getNumPartitions())
+    encoded = bpe.encode(mixed.select(docs.columns), *_tokenizer(), ids="ids", decoded="decoded_sha256")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 

@@ -153,6 +153,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     return placed.join(plan, ["__key", "block"]).select(*docs.columns, *new)
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """Rows of mix() in schedule order: range-partitioned and sorted by slot and place."""
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+def in_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows of mix() in schedule order: range-partitioned, into parts if given, and sorted by slot and place."""
+    by = ("slot", "place")
+    return (mixed.repartitionByRange(max(1, parts), *by) if parts is not None else mixed.repartitionByRange(*by)).sortWithinPartitions(*by)
