@@ -7,7 +7,7 @@ Weights are taken as exact fractions and never rounded to a period. When a
 source runs out, a new phase starts with the weights of the others scaled up; the guarantee holds within each
 phase. Every row is placed exactly once: nothing is dropped or repeated.
 
-The driver holds one count and one weight for each source and lays the blocks out one after the other, in time
+Sources may be any number. The driver holds one count and one weight for each and lays the blocks out one after the other, in time
 N log S for N blocks of S sources, in parts of PART that it writes to a table. Rows meet it, and the counts, in joins: Spark
 broadcasts a table below its own threshold and shuffles beyond. A hot source is cut into buckets of about BUCKET rows by hash;
 row numbers are bucket offsets, themselves summed in two levels, plus the rank within the bucket.
@@ -30,7 +30,6 @@ from tarn.llm.work import new_dir, written
 BLOCK = 32
 PERIOD = 1024
 PART = 1 << 17
-MAX_SOURCES = 2000
 BUCKET, SUPER = 128, 1024
 #: Default target weights: rows to this power, between natural shares (1) and equal ones (0).
 TEMPERATURE = 0.5
@@ -125,9 +124,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     docs = docs.drop(*new)
     keyed = docs.withColumn("__key", _key(source))
     counted = written(keyed.groupBy("__key").agg(F.count("*").alias("n")), "sources")
-    counts = {r["__key"]: r["n"] for r in counted.limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = {r["__key"]: r["n"] for r in counted.collect()}
     if weights is None:
         target = {s: n**TEMPERATURE for s, n in counts.items()}
     else:

@@ -97,3 +97,16 @@ def test_weight_below_a_thousandth(spark):
     rows = [(i, "t", "hot") for i in range(6000)] + [(9000 + i, "t", "rare") for i in range(20)]
     got = mixing.mix(frame(spark, rows), {"hot": 1, "rare": 0.0001}, block=1).collect()
     assert sum(r["source"] == "rare" and r["slot"] < 5900 for r in got) <= 1
+
+
+def test_thousands_of_sources(spark):
+    rows = [(i, "t", f"s{i % 3000}") for i in range(7000)]
+    got = mixing.mix(frame(spark, rows), block=2).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(7000))
+    assert sorted({r["slot"] for r in got}) == list(range(len({(r["source"], r["block"]) for r in got})))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def test_as_many_phases_as_sources_take_no_longer():
+    order = list(mixing.schedule(dict.fromkeys(map(str, range(50_000)), 1), dict.fromkeys(map(str, range(50_000)), 1.0)))
+    assert len({s for s, *_ in order}) == 50_000 and [t for *_, t in order] == list(range(50_000))
