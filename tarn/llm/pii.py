@@ -38,7 +38,8 @@ TRAINING = 6000
 PRECISION = 0.995
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Starts only where a run of digits does and never gives digits back: the same matches, in linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -67,7 +68,7 @@ def base_spans(text: str) -> list[Span]:
                 out.append(("email", start, m.end()))
                 done = m.end()
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m[0].split("."))] if "." in text else []
         out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() > 11 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15] if "+" in text else []
     return sorted(out, key=_order)
