@@ -84,3 +84,22 @@ def test_components_of_a_path_and_a_star(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(n)] + [(5000, 5000), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(n)}
+
+
+def test_crowded_segments_lose_no_link(spark, monkeypatch):
+    """Thousands of fingerprints share a segment; some are linked across it, by either segment."""
+    import random
+
+    rnd = random.Random(9)
+    fps = [(0xABCD0123 << 32) | rnd.getrandbits(32) for _ in range(1500)] + [rnd.getrandbits(32) << 32 | 0x80000001 for _ in range(300)]
+    fps += [f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for f in rnd.sample(fps, 500)] + [0, 3, 1 << 63, (1 << 64) - 1, (1 << 64) - 2]
+    fps = sorted(set(fps))
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2}
+    df = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    for limit in (simhash.BUCKET, 4, 1 << 20):
+        monkeypatch.setattr(simhash, "BUCKET", limit)
+        found = {tuple(sorted((r["u"] & (1 << 64) - 1, r["v"] & (1 << 64) - 1))) for r in simhash.links(df).collect()}
+        assert found <= want
+        root = {r["node"]: r["root"] for r in components(spark.createDataFrame([tuple(x - (x >> 63 << 64) for x in p) for p in found], "u long, v long")).collect()}
+        assert all(root[a - (a >> 63 << 64)] == root[b - (b >> 63 << 64)] for a, b in want)
+    assert len(want) > 400 and found == want
