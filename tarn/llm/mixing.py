@@ -7,21 +7,21 @@ Weights are taken as exact fractions and never rounded to a period. When a
 source runs out, a new phase starts with the weights of the others scaled up; the guarantee holds within each
 phase. Every row is placed exactly once: nothing is dropped or repeated.
 
-Sources may be any number. The driver holds one count and one weight for each and lays the blocks out one after the other, in time
-N log S for N blocks of S sources, in parts of PART that it writes to a table. Rows meet it, and the counts, in joins: Spark
-broadcasts a table below its own threshold and shuffles beyond. A hot source is cut into buckets of about BUCKET rows by hash;
-row numbers are bucket offsets, themselves summed in two levels, plus the rank within the bucket.
+Sources may be any number. A block has BLOCK rows, or more where these would be over SCHEDULE blocks, so that the driver,
+which holds one count and one weight for each source and lays the blocks out one after the other, has the same bounded
+work at any size: B log S for B blocks of S sources, B at most SCHEDULE + S, written to a table in parts of PART. Rows meet it,
+and the counts, in joins: Spark broadcasts a table below its own threshold and shuffles beyond. A hot source is cut into buckets
+of about BUCKET rows by hash; row numbers are bucket offsets, themselves summed in two levels, plus the rank within the bucket.
 
 Defined results: a null source is a source of its own. Sources without a given weight share the least weight
 given. Rows are ordered within a source by hash, then id, then text hash; equal rows are interchangeable.
-An empty table gives an empty table. Columns of the input stay; one with the name of a result is replaced.
+Rows without an id are dealt by the hash of all their columns. An empty table gives an empty table. Columns of the input stay; one with the name of a result is replaced.
 """
 
 import heapq
 from collections.abc import Iterator, Mapping
 from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ from tarn.llm.work import new_dir, written
 
 BLOCK = 32
 PERIOD = 1024
+SCHEDULE = 1 << 20
 PART = 1 << 17
 BUCKET, SUPER = 128, 1024
 #: Default target weights: rows to this power, between natural shares (1) and equal ones (0).
@@ -104,12 +105,9 @@ def _laid_out(spark: SparkSession, blocks: Mapping[str, int], weights: Mapping[s
     """schedule() as a table, written in parts."""
     path, slots = new_dir(spark, "schedule"), schedule(blocks, weights)
     schema = "__key string, block long, phase_start long, release long, deadline long, slot long"
-    names = [c.split()[0] for c in schema.split(", ")]
     part, done = list(islice(slots, PART)), False
     while part or not done:
-        kinds = pa.schema([(c, pa.string() if c == "__key" else pa.int64()) for c in names])
-        rows = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*part, strict=True)) or [[]] * len(names), kinds.types, strict=True)], schema=kinds)
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
         part, done = list(islice(slots, PART)), True
     return spark.read.schema(schema).parquet(path)
 
@@ -118,7 +116,7 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", text: str | None = None, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", text: str | None = None, block: int | None = None) -> DataFrame:
     """docs with block, phase_start, release, deadline and slot (long), and place, the row's rank within its block."""
     new = ["block", "phase_start", "release", "deadline", "slot", "place"]
     docs = docs.drop(*new)
@@ -132,10 +130,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
         if not given or min(given.values()) <= 0:
             raise ValueError("weights must be positive")
         target = {s: given.get(s, min(given.values())) for s in counts}
+    block = block or max(BLOCK, -(-sum(counts.values()) // SCHEDULE))
     plan = _laid_out(docs.sparkSession, {s: -(-n // block) for s, n in counts.items()}, target)
 
     order = [F.col(key), F.xxhash64(text)] if text else [F.col(key)]
-    dealt = keyed.join(counted.select("__key", F.ceil(F.col("n") / BUCKET).alias("__buckets")), "__key").withColumn("__h", F.xxhash64(F.col(key))).withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.col("__buckets")))
+    dealt = keyed.join(counted.select("__key", F.ceil(F.col("n") / BUCKET).alias("__buckets")), "__key").withColumn("__h", F.when(F.col(key).isNull(), F.xxhash64(*docs.columns)).otherwise(F.xxhash64(F.col(key)))).withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.col("__buckets")))
     sizes = dealt.groupBy("__key", "__bucket").agg(F.count("*").alias("n")).withColumn("__super", F.floor(F.col("__bucket") / SUPER))
     supers = sizes.groupBy("__key", "__super").agg(F.sum("n").alias("m"))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
