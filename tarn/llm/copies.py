@@ -1,8 +1,13 @@
-"""Near copies by the similarity of word shingles: MinHash bands propose pairs, exact set similarity decides.
+"""Near copies by the similarity of word shingles: fingerprints and MinHash bands propose pairs, exact set similarity decides.
 
-A text's set holds the 64-bit hashes of its shingles. ROWS minima make a band, BANDS of them a sketch; a pair at
-Jaccard similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 20 = 3e-5, so that much recall is lost at the
-limit and less above it. Equal sets are one entry. Each entry is compared with the smallest of each band value it has;
+A text's set holds the 64-bit hashes of its shingles. Equal sets are one entry. Two generators propose pairs of entries:
+
+* SimHash: the entry's fingerprint is looked up in the multi-index tables of simhash.links.
+* Bands: 64 bits can't tell a similarity of 0.8 from less (10 of them differ, give or take 3), so links at two bits find
+  few of those pairs. ROWS minima make a band, BANDS of them a sketch; a pair at Jaccard similarity 0.8 shares no
+  band with probability (1 - 0.8 ** 4) ** 20 = 3e-5, so that much recall is lost at the limit and less above it.
+
+Each entry is compared with the smallest of each band value it has;
 then all pairs that share a band value and aren't yet in one component are. A cluster of near copies therefore costs
 one comparison for each member and distinct smallest entry, and only values that mix components cost pairs. Joins on
 band values are sort-merge joins, whose hot partitions adaptive execution splits. No candidate is cut.
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.simhash import SEED
+from tarn.llm.simhash import SEED, links as fingerprint_links, majority
 from tarn.llm.work import written
 from tarn.session import ship
 
@@ -59,20 +64,22 @@ def _signed(h: int) -> int:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, entry, bands, shingles): entry is a digest of the shingles."""
+    """(doc_id, text_hash, entry, fp, bands, shingles): entry is a digest of the shingles."""
     ship(docs.sparkSession)
-    schema = "doc_id long, entry long, bands array<long>, shingles array<long>"
+    schema = "doc_id long, text_hash long, entry long, fp long, bands array<long>, shingles array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(1)]
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(2)]
             entries = pa.array([_signed(xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
             bands = pa.array([band_values(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), entries, bands, pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], ["doc_id", "entry", "bands", "shingles"])
+            fps = pa.array([_signed(majority(s.astype(">u8").view("uint8").reshape(-1, 8))) for s in sets], pa.int64())
+            shingles = pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), entries, fps, bands, shingles], ["doc_id", "text_hash", "entry", "fp", "bands", "shingles"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -83,16 +90,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(least >= similarity * most).where(shared >= similarity * (least + most - shared)).select("u", "v")
 
 
+def _by_fingerprint(entries: DataFrame) -> DataFrame:
+    """(u, v): entries of one fingerprint with the smallest of it, and those smallest ones of linked fingerprints."""
+    firsts = written(entries.groupBy("fp").agg(F.min("entry").alias("first")), "firsts")
+    same = entries.select("entry", "fp").join(firsts, "fp").where("entry <> first").selectExpr("entry as u", "first as v")
+    near = fingerprint_links(firsts.select("fp")).join(firsts.selectExpr("fp as u", "first as a"), "u").join(firsts.selectExpr("fp as v", "first as b"), "v")
+    return same.union(near.select("a", "b"))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: component_id is the smallest id of the row's component."""
+    """(doc_id, text_hash, root, component_id) for every row of docs: root numbers the row's component, component_id is its smallest id."""
     rows = written(sketches(docs, doc_id, text, shingle), "sketches")
-    entries = written(rows.groupBy("entry").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "entries")
+    entries = written(rows.groupBy("entry").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "entries")
     keyed = entries.select("entry", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("entry").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
     met = written(keyed.join(shared.hint("merge"), "band"), "met")
-    own = met.select("entry").distinct()
+    first = met.where("entry <> v").select(F.col("entry").alias("u"), "v").union(_by_fingerprint(entries)).select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
+    first = written(first.select("u", "v").distinct(), "first")
+    own = met.select("entry").union(first.select("u")).union(first.select("v")).distinct()
     sets = written(rows.select("entry", "shingles").join(own, "entry", "left_semi").dropDuplicates(["entry"]), "sets")
-    first = met.where("entry <> v").select(F.col("entry").alias("u"), "v").distinct()
     links = written(_similar(first, sets, similarity), "links")
     roots = components(links).withColumnRenamed("node", "entry")
     placed = written(met.join(roots, "entry", "left").select("band", "entry", F.coalesce("root", "entry").alias("root")), "placed")
@@ -102,5 +118,5 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     links = links.union(written(_similar(more.select("u", "v").distinct(), sets, similarity), "links"))
     named = entries.select("entry", "least").join(components(links).withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(named.join(names, "root").select("entry", "component_id"), "classes")
-    return rows.select("doc_id", "entry").join(classes, "entry").select("doc_id", "component_id")
+    classes = written(named.join(names, "root").select("entry", "root", "component_id"), "classes")
+    return rows.select("doc_id", "text_hash", "entry").join(classes, "entry").select("doc_id", "text_hash", "root", "component_id")

@@ -16,12 +16,18 @@ def alike(a, b):
     return a == b or bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
 
 
-def brute(rows):
+def roots(rows):
+    """rows: (id, text). The number of each row's component, by all pairs."""
     sets, root = [brute_set(t) for _, t in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             if root[i] != root[j] and alike(sets[i], sets[j]):
                 root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def brute(rows):
+    root = roots(rows)
     return sorted((str(i), str(min((x for (x, _), r in zip(rows, root, strict=True) if r == at and x is not None), default=None))) for (i, _), at in zip(rows, root, strict=True))
 
 
@@ -56,3 +62,21 @@ def test_against_all_pairs(spark, sf):
         got = copies.near_copies(frame(spark, [(*r, "s") for r in some])).collect()
         assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == brute(some)
     assert copies.near_copies(frame(spark, [])).collect() == []
+
+
+def test_stage_with_repeated_ids_and_clashing_columns(spark, sf):
+    """One id with other texts is another document, rows without an id go last, and no column is lost to an operator's."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(8, text, "a"), (8, text, "a"), (8, text + " 13 14 15 16 17 18", "b"), (None, text, "c"), (None, "words of a document without any id that no other row has", "d"), (9, text, "e"), (3, "x", "f"), (3, "x", "g")]
+    clash = ("n_words", "kept", "spans", "n_email", "slot", "block", "place", "fp", "root", "text_hash", "component_id", "base_failed", "entry")
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", "'en' as lang", "length(text) as n_chars", *(f"concat('{c}', source) as `{c}`" for c in clash))
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in got.collect()]
+    assert sorted(map(str, kept)) in [sorted(map(str, [rows[0], rows[2], rows[4], x])) for x in rows[6:]]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}{r['source']}" for r in out.collect() for c in clash)
+    assert {r["doc_id"] for r in corpus_pipeline.byte_bpe(spark, docs, sf).collect()} == {None, 3, 8, 9}

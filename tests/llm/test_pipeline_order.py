@@ -8,8 +8,8 @@ def test_run_keeps_the_schedule_over_several_files(spark, tmp_path):
     name = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(name, "false")  # each stage then writes several files
     try:
-        got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source").collect()
+        got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "slot", "place").collect()
     finally:
         spark.conf.unset(name)
-    want = mixing.mix(spark.createDataFrame(got, "doc_id long, source string")).orderBy("slot", "place").collect()
-    assert len(got) > 800 and [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    want = mixing.mix(spark.createDataFrame(got, "doc_id long, source string, slot long, place int")).orderBy("slot", "place").collect()
+    assert len(got) > 800 and [(r["doc_id"], r["slot"], r["place"]) for r in got] == [(r["doc_id"], r["slot"], r["place"]) for r in want]
