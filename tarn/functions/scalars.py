@@ -3,7 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File classes by extension and by exact name.
+# Bytes kept of a process's output; file classes by extension and by exact name.
+OUTPUT_TAIL = 4 << 20
 SCRIPT_EXTENSIONS = ("js", "wxs")
 STYLE_EXTENSIONS = ("wxss", "css")
 TEMPLATE_EXTENSIONS = ("wxml", "html")
@@ -63,6 +64,31 @@ def xml_escape(s: Column) -> Column:
     return s
 
 
+def attribute_escape(s: Column) -> Column:
+    """For a value in double quotes: single quotes stay."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        s = F.replace(s, F.lit(raw), F.lit(safe))
+    return s
+
+
+def last_bytes(output: Column, n: int = OUTPUT_TAIL) -> Column:
+    """The end of a process's output, n bytes of it; output is binary."""
+    return F.substring(output, F.greatest(F.octet_length(output) - n + 1, F.lit(1)), F.lit(n))
+
+
+def metric_number(metrics: Column, key: str) -> Column:
+    """A number of a JSON map of metrics as a whole one, cut towards zero; null for what isn't a number."""
+    found = F.try_variant_get(metrics, f"$.{key}", "variant")
+    number = F.schema_of_variant(found).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    return F.when(number, F.try_variant_get(found, "$", "double").cast("long"))
+
+
+def metric_text(metrics: Column, key: str) -> Column:
+    """A string of a JSON map of metrics; empty for what isn't one."""
+    found = F.try_variant_get(metrics, f"$.{key}", "variant")
+    return F.coalesce(F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string")), F.lit(""))
+
+
 def occurrences(s: Column, part: str) -> Column:
     return ((F.length(s) - F.length(F.replace(s, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
@@ -102,14 +128,19 @@ def sniffed_type(content: Column, path: Column) -> Column:
     )
 
 
+def _head(content: Column) -> Column:
+    """The first 512 bytes, each as one character; text counts in UTF-8."""
+    return F.decode(F.substring(content.cast("binary"), 1, 512), "ISO-8859-1")
+
+
 def likely_text(content: Column) -> Column:
     """No NUL in the first 512 bytes."""
-    return ~F.left(content, F.lit(512)).contains("\0")
+    return ~_head(content).contains("\0")
 
 
 def no_control_in_head(content: Column) -> Column:
-    """No control character but tab, line feed and carriage return in the first 512."""
-    return ~F.left(content, F.lit(512)).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    """No control character but tab, line feed and carriage return in the first 512 bytes."""
+    return ~_head(content).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
 
 
 def no_control_anywhere(content: Column) -> Column:

@@ -103,9 +103,11 @@ def missing_references(refs: DataFrame, files: DataFrame) -> DataFrame:
     full = F.when(src.startswith("/"), F.concat(F.lit("."), src)).otherwise(F.concat_ws("/", F.when(paths.parent(F.col("path")) != "", paths.parent(F.col("path"))), src))
     target = paths.clean(full)
     inferred = F.when(scalars.extension(target) == "", F.concat(target, F.when(F.col("tag") == "wxs", ".wxs").otherwise(".wxml")))
-    wanted = static.withColumn("__want", F.array_compact(F.array(target, inferred))).withColumn("__ref", F.monotonically_increasing_id())
-    there = wanted.select("__ref", "pkg_id", F.explode("__want").alias("__p")).join(files.select("pkg_id", F.col("path").alias("__p")), ["pkg_id", "__p"], "left_semi").select("__ref").distinct()
-    return wanted.join(there, "__ref", "left_anti").select("pkg_id", "path", "tag", "src")
+    wanted = static.withColumn("__want", F.array_compact(F.array(target, inferred)))
+    names = ("pkg_id", "path", "tag", "src")
+    asked = wanted.select(*names, F.explode("__want").alias("__p")).distinct()
+    there = asked.join(files.select("pkg_id", F.col("path").alias("__p")), ["pkg_id", "__p"], "left_semi").select(*names).distinct()
+    return wanted.join(there, list(names), "left_anti").select(*names)
 
 
 def gate(total_pages: Column, missing_pairs: Column, parser_ok: Column, issue_files: Column) -> Column:

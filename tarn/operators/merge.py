@@ -5,7 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranks of sources; a higher rank replaces a lower one.
+# Events kept of a key, and ranks of sources; a higher rank replaces a lower one.
+TAIL = 256
 SOURCE_RANKS = {"manifest": 3, "native": 3, "runtime": 3, "generated": 2, "inferred": 2, "fallback": 1}
 
 
@@ -56,6 +57,16 @@ def without(pages: DataFrame, claimed: DataFrame, keys: Sequence[str]) -> DataFr
     return pages.join(claimed, list(keys), "left_anti")
 
 
+def set_differences(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row (only_first, only_second, repeated): keys that one side alone holds, and keys that a side holds twice or more.
+
+    Two equal sets without duplicates give zeros. Both sides meet in one aggregate by key, which combines before its shuffle.
+    """
+    sides = first.select(*keys, F.lit(1).alias("__a"), F.lit(0).alias("__b")).union(second.select(*keys, F.lit(0), F.lit(1)))
+    counts = sides.groupBy(*keys).agg(F.sum("__a").alias("a"), F.sum("__b").alias("b"))
+    return counts.agg(F.count_if((F.col("b") == 0)).alias("only_first"), F.count_if((F.col("a") == 0)).alias("only_second"), F.count_if((F.col("a") > 1) | (F.col("b") > 1)).alias("repeated"))
+
+
 def running_end(entries: DataFrame, keys: Sequence[str], order: Sequence[str], end: str) -> DataFrame:
     """Adds seen_end: the largest end of strictly earlier rows (null for the first). The order must be total."""
     return entries.withColumn("seen_end", F.max(end).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
@@ -68,7 +79,7 @@ def changed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     return rows.withColumn("__now", now).withColumn("__was", F.lag("__now").over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~F.col("__now").eqNullSafe(F.col("__was"))).drop("__now", "__was", "__n")
 
 
-def tail(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+def tail(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = TAIL) -> DataFrame:
     """The last n rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order))
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

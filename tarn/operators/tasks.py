@@ -1,15 +1,18 @@
 """Tasks and their reports: request checks, public projections, archives' states, formatter decisions."""
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tarn.functions import scalars
+from tarn.functions import markup, scalars
 from tarn.operators import merge
 
 # Limits of requests and of stored records, named reports, formats of ids.
 MAX_UPLOAD = 50 << 20
 MAX_AGE_S, MAX_AHEAD_S = 12 * 3600, 60
 FORMAT_LIMIT, SCRIPT_LIMIT = 8 << 20, 4 << 20
+JSON_GROWTH, REQUEST_FIELDS = 6, 64 << 10
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 REPORTS = {"report": "recovery-report.json", "diagnostics": "diagnostics.json", "artifacts": "artifacts.json", "profile": "package-profile.json"}
 TERMINAL = ("completed", "partial", "failed")
@@ -96,6 +99,11 @@ def format_decision(enabled: Column, size: Column, healthy: Column, breaker_open
     return F.when(~enabled, "formatter disabled").when(size > limit, "file exceeds formatter limit").when(~healthy, "formatter unavailable").when(breaker_open, "formatter circuit breaker open")
 
 
+def format_request_error(body_bytes: Column, content_bytes: Column, limit: int) -> Column:
+    """Why the formatter refuses a request, null if it doesn't. JSON may write a byte of content in six, beside the request's own fields."""
+    return F.when(body_bytes > JSON_GROWTH * limit + REQUEST_FIELDS, "body too large").when(content_bytes > limit, "content too large")
+
+
 def format_status(skipped: Column, reported: Column, failed: Column, before: Column, after: Column) -> Column:
     """skipped, failed, what the formatter reported, or by comparing contents; a failure keeps the original bytes."""
     return F.when(skipped.isNotNull(), "skipped").when(failed, "failed").when(reported != "", reported).when(before == after, "unchanged").otherwise("formatted")
@@ -119,6 +127,61 @@ def accepted(facts: DataFrame) -> DataFrame:
     return facts.withColumn("accepted", ok)
 
 
+def status_counts(files: DataFrame, *keys: str) -> DataFrame:
+    """files(..., status) counted: formatted, unchanged, skipped, failed and partial; an unknown status is a failure, only failures are partial."""
+    known = ("formatted", "unchanged", "skipped")
+    s = F.coalesce("status", F.lit(""))
+    counts = files.groupBy(*keys).agg(*(F.count_if(s == k).alias(k) for k in known), F.count_if(~s.isin(*known)).alias("failed"))
+    return counts.withColumn("partial", F.col("failed") > 0)
+
+
+def formatted_files(files: DataFrame) -> DataFrame:
+    """files(pkg_id, path, text) with output, status and reason: what is formatted here, and why the rest keeps its bytes.
+
+    Markup is laid out by markup.format_tags; JSON is checked. Scripts and styles need a formatter of their own and are skipped.
+    Files of no formatter's type are left out. A file beyond its limit, or with control characters, is skipped.
+    """
+    kind = scalars.sniffed_type(F.col("text"), F.col("path"))
+    listed = files.where(scalars.is_text_artifact(F.col("path"))).select("pkg_id", "path", "text", kind.alias("kind"))
+    size = F.octet_length("text")
+    why = F.coalesce(format_decision(F.lit(True), size, F.lit(True), F.lit(False), F.col("kind")), F.when(~scalars.no_control_anywhere(F.col("text")), "control characters"), F.when(F.col("kind").isin("js", "css"), "formatter unavailable"))
+    marked = listed.withColumn("reason", why).withColumn("__in", F.when((F.col("kind") == "html") & why.isNull(), F.col("text")))
+    done = markup.with_text_function(marked, "__in", "__out", StringType(), pa.string(), markup.format_tags).drop("__in")
+    invalid = (F.col("kind") == "json") & F.col("reason").isNull() & F.try_parse_json("text").isNull()
+    output = F.coalesce("__out", "text")
+    status = format_status(F.col("reason"), F.lit(""), invalid, F.col("text"), output)
+    return done.select("pkg_id", "path", output.alias("output"), status.alias("status"), F.coalesce("reason", F.when(invalid, "invalid JSON")).alias("reason"))
+
+
+def stage_durations(starts: DataFrame, finishes: DataFrame) -> DataFrame:
+    """finishes(task_id, stage, at_ms) with duration_ms since the stage's last start that isn't later; 0 without any start.
+
+    Starts and finishes run in one order of time by task and stage, so this is a running maximum and no join.
+    """
+    both = starts.select("task_id", "stage", "at_ms", F.lit(0).alias("end")).union(finishes.select("task_id", "stage", "at_ms", F.lit(1)))
+    before = Window.partitionBy("task_id", "stage").orderBy("at_ms", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = both.withColumn("started", F.max(F.when(F.col("end") == 0, F.col("at_ms"))).over(before)).where("end = 1")
+    return timed.select("task_id", "stage", "at_ms", F.coalesce(F.col("at_ms") - F.col("started"), F.lit(0)).alias("duration_ms"))
+
+
+def score_rows(scores: DataFrame) -> DataFrame:
+    """scores(pkg_id, manifest, js, wxml, wxss, generated_ratio, verifier_passed, fallback_used, penalty) as rows for display:
+    (pkg_id, place, metric, value, tone). A penalty has a row only where there is one."""
+    c = F.col
+    passed, used = F.coalesce("verifier_passed", F.lit(False)), F.coalesce("fallback_used", F.lit(False))
+    row = lambda metric, value, tone=None: F.struct(F.lit(metric).alias("metric"), value.alias("value"), (tone if tone is not None else F.lit(None).cast("string")).alias("tone"))
+    percent = lambda x: F.concat(x.cast("string"), F.lit("/100"))
+    ratio = F.coalesce("generated_ratio", F.lit(0))
+    rows = [
+        *(row(name, percent(c(name))) for name in ("manifest", "js", "wxml", "wxss")),
+        row("missing-page-files", F.concat(ratio.cast("string"), F.lit("%")), F.when(ratio > 0, "warning").otherwise("success")),
+        row("verifier", passed.cast("string"), F.when(passed, "success").otherwise("warning")),
+        row("fallback", used.cast("string"), F.when(used, "warning").otherwise("neutral")),
+        F.when(c("penalty") > 0, row("fallback-adjustment", (-c("penalty")).cast("string"), F.lit("neutral"))),
+    ]
+    return scores.select("pkg_id", F.posexplode(F.array_compact(F.array(*rows))).alias("place", "x")).select("pkg_id", "place", "x.*")
+
+
 def stage_attempts(stages: DataFrame) -> DataFrame:
     """Stage rows with attempt and status: partial before success before failed."""
     return merge.attempts(stages).withColumn("status", scalars.stage_status(F.col("success"), F.col("partial")))

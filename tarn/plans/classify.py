@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import paths, scalars
+from tarn.operators import diagnostics, tasks
 from tarn.plans.catalog import query
 from tarn.session import table
 from tarn.sources.container import flags_to_variant
@@ -60,7 +61,7 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cls12_text_predicates",
-    r"""select doc_id, not contains(left(text, 512), chr(0)) as likely, not regexp_matches(left(text, 512), '[\x00-\x08\x0B\x0C\x0E-\x1F]') as head_clean,
+    r"""select doc_id, strlen(split_part(text, chr(0), 1)) >= least(512, strlen(text)) as likely, strlen(regexp_extract(text, '^[^\x00-\x08\x0B\x0C\x0E-\x1F]*')) >= least(512, strlen(text)) as head_clean,
                not regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') as clean, not regexp_matches(left(text, 512), '[#*$%&|<>!]') as no_symbols from documents""",
 )
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +188,16 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scalars.occurrences(F.col("text"), "th").alias("n"))
 
 
-@query("x18_request_gate", "select doc_id, strlen(text) as bytes, strlen(text) <= 4096 as accepted, strlen(text) * 6 + 65536 <= 131072 as body_ok from documents")
+@query("x18_request_gate", """with d as (select doc_id, strlen(text) as bytes, strlen(text) * (1 + doc_id % 64) as body from documents)
+       select doc_id, bytes, case when body > 4096 * 6 + 65536 then 'body too large' when bytes > 4096 then 'content too large' end as refused from d""")
 def request_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size limits count UTF-8 bytes, not characters."""
+    """Size limits count UTF-8 bytes, not characters; a document's number stands for how much its request's body grew."""
     n = F.octet_length("text").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("bytes"), (n <= 4096).alias("accepted"), (n * 6 + 65536 <= 131072).alias("body_ok"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("bytes"), tasks.format_request_error(n * (1 + F.col("doc_id") % 64), n, 4096).alias("refused"))
 
 
-@query("so3_warnings", "select event_id, left(props, 6) as message from events where event_type = 'error' order by event_id limit 10")
+@query("so3_warnings", "select event_id, left(props, 120) as message from events where event_type = 'error' order by event_id limit 10")
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten by order, cut in code points."""
-    return table(spark, sf_dir, "events").where("event_type = 'error'").orderBy("event_id").limit(10).select("event_id", F.left("props", F.lit(6)).alias("message"))
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "if(event_type = 'error', 'warn', 'info') as severity", "props as message")
+    return diagnostics.short_list(e, seq="event_id").select("event_id", "message")

@@ -1,12 +1,14 @@
 """Packages made of the driver's tables, taken through verification, and operators that SQL can't express.
 
-A document's source stands for a package and the document for one of its files; pages are markup.
+A package holds the documents of one source among PACKAGE ids in a row, so that no package grows with the table; a document is
+one of its files. Pages are markup.
 """
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -16,25 +18,30 @@ from tarn.plans.catalog import query
 from tarn.session import table
 from tarn.sources import container, crypt
 
+PACKAGE = 999  # a multiple of three: documents that share a base name stay in one package
+PKG = f"source || '-' || (doc_id // {PACKAGE})"
 NAME = "'d' || (doc_id // 3) || case when doc_id % 3 = 0 then '.js' when doc_id % 3 = 1 then '.wxml' else '.json' end"
 
 
+def _pkg() -> Column:
+    return F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / PACKAGE).cast("string"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pkg_id, ord, path, text): three documents share a base name, if their source is the same."""
     end = F.when(F.col("doc_id") % 3 == 0, ".js").when(F.col("doc_id") % 3 == 1, ".wxml").otherwise(".json")
     path = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string"), end)
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("pkg_id"), F.col("doc_id").alias("ord"), path.alias("path"), "text")
+    return table(spark, sf_dir, "documents").select(_pkg().alias("pkg_id"), F.col("doc_id").alias("ord"), path.alias("path"), "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pkg_id, ord, route): routes d0, d1, ... each declared by two packages; every eleventh one is invalid."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 < 2")
-    route = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string"), F.when(F.col("doc_id") % 11 == 0, ".html").otherwise(""))
-    return d.select(F.col("source").alias("pkg_id"), F.col("doc_id").alias("ord"), route.alias("route"))
+    """(pkg_id, ord, route): every document declares a page; every fifth one names no file, every eleventh is invalid."""
+    route = F.concat(F.when(F.col("doc_id") % 5 == 4, "x").otherwise("d"), F.floor(F.col("doc_id") / 3).cast("string"), F.when(F.col("doc_id") % 11 == 0, ".html").otherwise(""))
+    return table(spark, sf_dir, "documents").select(_pkg().alias("pkg_id"), F.col("doc_id").alias("ord"), route.alias("route"))
 
 
-FILES = f"f as (select source as pkg_id, {NAME} as path from documents)"
-PAGES = "p as (select source as pkg_id, doc_id as ord, 'd' || (doc_id // 3) || case when doc_id % 11 = 0 then '.html' else '' end as route from documents where doc_id % 5 < 2)"
+FILES = f"f as (select {PKG} as pkg_id, {NAME} as path from documents)"
+PAGES = f"p as (select {PKG} as pkg_id, doc_id as ord, case when doc_id % 5 = 4 then 'x' else 'd' end || (doc_id // 3) || case when doc_id % 11 = 0 then '.html' else '' end as route from documents)"
 STATUS = """s as (select p.*, case when row_number() over (partition by pkg_id, route order by ord) > 1 then 'duplicate' when ends_with(route, '.html') then 'invalid'
        when not exists (select 1 from f where f.pkg_id = p.pkg_id and f.path in (p.route || '.js', p.route || '.wxml', p.route || '.json')) then 'missing' else 'ok' end as status from p)"""
 
@@ -73,8 +80,8 @@ def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RATIO = "cast(trunc(case when {1} <= 0 then 0 else ({0})::double / ({1})::double * 100 end) as integer)"
 FACTS = f"""with {FILES}, {PAGES}, {STATUS}, {SUMMARY},
-    l as (select d.source as pkg_id, count(*) as n, count(*) filter (quality = 1) as good, count(*) filter (toxic = 1) as toxic from documents d left join labels b on b.doc_id = d.doc_id group by 1),
-    x as (select m.*, m.issues = 0 as manifest_ok, l.n as files, l.good, l.toxic, m.missing as missing_pairs, m.issues = 0 and l.toxic = 0 as gate_ok, ends_with(m.pkg_id, '7') as fallback from m join l on l.pkg_id = m.pkg_id),
+    l as (select d.source || '-' || (d.doc_id // {PACKAGE}) as pkg_id, count(*) as n, count(*) filter (quality = 1) as good, count(*) filter (toxic = 1) as toxic from documents d left join labels b on b.doc_id = d.doc_id group by 1),
+    x as (select m.*, m.issues = 0 as manifest_ok, l.n as files, l.good, l.toxic, m.missing as missing_pairs, m.issues = 0 and l.toxic = 0 as gate_ok, ends_with(split_part(m.pkg_id, '-', 1), '7') as fallback from m join l on l.pkg_id = m.pkg_id),
     r as (select *, least(greatest(issues, missing), page_count) as bad from x),
     c as (select *, {RATIO.format('page_count - bad', 'page_count')} as manifest_raw, {RATIO.format('good', 'greatest(page_count, files)')} as js, {RATIO.format('good', 'greatest(page_count, files)')} as wxml_raw,
           {RATIO.format('files - toxic', 'greatest(page_count, files)')} as clean, {RATIO.format('good', 'files')} as wxss, {RATIO.format('missing_pairs', 'page_count')} as generated_ratio from r),
@@ -85,13 +92,13 @@ FACTS = f"""with {FILES}, {PAGES}, {STATUS}, {SUMMARY},
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("pkg_id")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    labels = table(spark, sf_dir, "documents").select("doc_id", _pkg().alias("pkg_id")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     per = labels.groupBy("pkg_id").agg(F.count("*").alias("files"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
     m = _summary(spark, sf_dir).join(per, "pkg_id")
     return m.select(
         "pkg_id", "page_count", F.col("issues").alias("manifest_issues"), F.col("missing").alias("missing_pages"), F.lit(0).alias("invalid_tabs"), "manifest_ok", F.col("page_count").alias("total_pages"),
         F.col("files").alias("js_files"), F.col("good").alias("js_ok"), F.col("files").alias("wxml_files"), F.col("good").alias("wxml_ok"), F.col("files").alias("wxss_files"), F.col("good").alias("wxss_ok"),
-        F.col("toxic").alias("issue_files"), F.col("missing").alias("missing_pairs"), (F.col("manifest_ok") & (F.col("toxic") == 0)).alias("gate_ok"), F.col("pkg_id").endswith("7").alias("fallback_used"),
+        F.col("toxic").alias("issue_files"), F.col("missing").alias("missing_pairs"), (F.col("manifest_ok") & (F.col("toxic") == 0)).alias("gate_ok"), F.split_part("pkg_id", F.lit("-"), F.lit(1)).endswith("7").alias("fallback_used"),
     )
 
 
@@ -125,7 +132,9 @@ def markup_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.markup_quality(_markup(spark, sf_dir)).select("path", "placeholders", "text_markers", "suspicious", "dynamic", "has_issue")
 
 
-@query("jn6_markup_refs")
+@query("jn6_markup_refs", """with r as (select page_id, 'import' as tag, './' || ((page_id + 1) % 400) || '.wxml' as src, 'p/' || ((page_id + 1) % 400) || '.wxml' as target from pages
+       union all select page_id, 'include', '/p/' || (page_id * 2), 'p/' || (page_id * 2) || '.wxml' from pages)
+       select 'p' as pkg_id, 'p/' || page_id || '.wxml' as path, tag, src from r where target not in (select 'p/' || page_id || '.wxml' from pages)""")
 def markup_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of markup files that name no file; the tags are scanned in Arrow batches, the rest is joins."""
     k = F.col("page_id")
@@ -150,7 +159,7 @@ def format_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", F.when(F.col("html") == F.col("formatted"), "unchanged").otherwise("formatted").alias("status"), F.md5("formatted").alias("digest"))
 
 
-@query("sc12_scrub")
+@query("sc12_scrub", "select page_id, 'at src/a' || page_id || '.js from ' || url || case when page_id % 2 = 0 then ' x.txt' else ' y.js' end as public from pages")
 def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages without host paths."""
     k = F.col("page_id")
@@ -159,7 +168,7 @@ def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.with_text_function(rows, "message", "public", StringType(), pa.string(), scrub.text).select("page_id", "public")
 
 
-@query("sc13_scrub_json")
+@query("sc13_scrub_json", """select page_id, '{"files":["home/a.js","c.js"],"metrics":{"pageCount":' || page_id || '},"path":"' || regexp_extract(url, '([^/]*)/*$', 1) || '"}' as public from pages""")
 def scrub_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.to_json(F.struct(F.struct(F.col("page_id").alias("pageCount"), F.lit("/tmp/x").alias("zipPath")).alias("metrics"), F.array(F.lit("home/a.js"), F.lit("/home/b/c.js")).alias("files"), F.concat(F.lit("/opt/"), "url").alias("path")))
     rows = table(spark, sf_dir, "pages").select("page_id", doc.alias("doc"))
@@ -175,11 +184,11 @@ def common_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package of each source's documents."""
+    """A package of each source's documents, PACKAGE ids at a time."""
     return container.encode_table(_files(spark, sf_dir).withColumn("content", F.col("text").cast("binary")))
 
 
-FILE_TABLE = f"select source as pkg_id, {NAME} as path, cast(strlen(text) as bigint) as size, sha256(text) as sha256 from documents"
+FILE_TABLE = f"select {PKG} as pkg_id, {NAME} as path, cast(strlen(text) as bigint) as size, sha256(text) as sha256 from documents"
 
 
 @query("src3_scan", FILE_TABLE)
@@ -189,13 +198,13 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.files(container.extract(packs, container.scan(packs, strict=True))).select("pkg_id", "path", "size", "sha256")
 
 
-@query("cls6_profile", "select source as pkg_id, false as is_encrypted, true as is_standard, count(*) as index_file_count, 'standard' as variant from documents group by source")
+@query("cls6_profile", f"select {PKG} as pkg_id, false as is_encrypted, true as is_standard, count(*) as index_file_count, 'standard' as variant from documents group by 1")
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = _packages(spark, sf_dir)
     return container.profile(packs, container.extract(packs, container.scan(packs))).select("pkg_id", "is_encrypted", "is_standard", "index_file_count", "variant")
 
 
-@query("cls5_decrypt", "select source as pkg_id, true as same from documents group by source")
+@query("cls5_decrypt", f"select {PKG} as pkg_id, true as same from documents group by 1")
 def decrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages enciphered with Spark's AES, deciphered again with the key id."""
     import hashlib
@@ -207,7 +216,7 @@ def decrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tails = [bytes(b ^ ord(key_id[-2]) for b in c) for c in batch.column(1).to_pylist()]
+            tails = [(np.frombuffer(c, np.uint8) ^ np.uint8(ord(key_id[-2]))).tobytes() for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tails, pa.binary())], ["pkg_id", "head", "tail"])
 
     parts = packs.select("pkg_id", F.expr(f"substring(content, {crypt.KEPT + 1})").alias("rest"), F.expr("cast(null as binary)").alias("x"), head.alias("e"))
@@ -217,10 +226,10 @@ def decrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.join(packs.select("pkg_id", F.sha2("content", 256).alias("b")), "pkg_id").select("pkg_id", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("m1_manifest", """select source as pkg_id, cast(row_number() over (partition by source order by doc_id) - 1 as integer) as ord, 'd' || doc_id as route, case when source = 'src7' then 'app-config.json' else 'app.json' end as src, 'authoritative' as confidence from documents where doc_id % 7 = 0""")
+@query("m1_manifest", f"""select {PKG} as pkg_id, cast(row_number() over (partition by {PKG} order by doc_id) - 1 as integer) as ord, 'd' || doc_id as route, case when source = 'src7' then 'app-config.json' else 'app.json' end as src, 'authoritative' as confidence from documents""")
 def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages out of each package's application document, routes normalised."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    d = table(spark, sf_dir, "documents").groupBy(_pkg().alias("pkg_id"), "source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     pages = F.transform("ids", lambda i: F.concat(F.lit("/d"), i.cast("string"), F.lit(".html")))
-    docs = d.select(F.col("source").alias("pkg_id"), F.lit(0).alias("ord"), F.when(F.col("source") == "src7", "app-config.json").otherwise("app.json").alias("path"), F.to_json(F.struct(pages.alias("pages"))).alias("text"))
+    docs = d.select("pkg_id", F.lit(0).alias("ord"), F.when(F.col("source") == "src7", "app-config.json").otherwise("app.json").alias("path"), F.to_json(F.struct(pages.alias("pages"))).alias("text"))
     return manifest.pages(docs).select("pkg_id", "ord", "route", F.col("source").alias("src"), "confidence")

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.operators import diagnostics, merge
+from tarn.functions import labels, scalars
+from tarn.operators import config, diagnostics, merge, tasks
 from tarn.plans.catalog import query
 from tarn.session import table
 
@@ -20,11 +21,11 @@ def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("jn3_anti", "select c_mktsegment, count(*) as n from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null) group by 1")
+@query("jn3_anti", "select p_brand, count(*) as n from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49 and l_partkey is not null) group by 1")
 def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, by segment."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    """Parts that no line has in a large quantity, by brand."""
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return merge.without(table(spark, sf_dir, "part"), large, ["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @query("jn5_pairs", """select source, count(*) filter (q and t) as pairs, count(*) filter (not (q and t)) as missing from
@@ -51,13 +52,14 @@ def missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.join(known, "target", "left_anti").groupBy("page_id").agg(F.count("*").alias("missing"), F.count_distinct("target").alias("targets"))
 
 
-TRACKS = """n as (select doc_id // 3 as k, min(text) as text from documents where doc_id % 3 <> 2 group by 1), f as (select doc_id // 2 as k, min(text) as text from documents where doc_id % 2 = 1 group by 1)"""
+TRACKS = """n as (select doc_id // 3 as k, min(text) as text from documents group by 1), f as (select doc_id // 2 as k, min(text) as text from documents group by 1)"""
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every document in both tracks, under other keys: three share one in the first track, two in the second."""
     d = table(spark, sf_dir, "documents")
-    track = lambda keep, by: d.where(keep).groupBy(F.floor(F.col("doc_id") / by).alias("k")).agg(F.min("text").alias("text"))
-    return track("doc_id % 3 <> 2", 3), track("doc_id % 2 = 1", 2)
+    track = lambda by: d.groupBy(F.floor(F.col("doc_id") / by).alias("k")).agg(F.min("text").alias("text"))
+    return track(3), track(2)
 
 
 @query("jn7_merge", f"with {TRACKS} select case when n.k is null then 'added' when n.text = f.text then 'identical' else 'preserved' end as outcome, count(*) as n from f left join n on f.k = n.k group by 1")
@@ -78,19 +80,24 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.with_provenance(scanned, known).select(F.col("path").alias("doc_id"), "source")
 
 
-@query("jn9_digest", "with b as (select md5(text) as m, min(doc_id) as first_id from documents group by 1) select d.doc_id, b.first_id from documents d join b on md5(d.text) = b.m where d.doc_id <> b.first_id")
+@query("jn9_digest", """with k as (select md5(text) as m, min('d' || doc_id) as path from documents group by 1)
+       select doc_id, case when doc_id % 10 <> 0 then k.path end as icon_path from documents d left join k on k.m = md5(d.text)""")
 def digest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose content occurred before, by digest, with the first that has it."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"))
-    return d.join(d.groupBy("m").agg(F.min("doc_id").alias("first_id")), "m").where("doc_id <> first_id").select("doc_id", "first_id")
+    """Documents as files, and each as an icon written inline in base64; every tenth icon is no base64."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("p").alias("pkg_id"), F.col("text").cast("binary").alias("content"))
+    icon = F.when(F.col("doc_id") % 10 == 0, "?").otherwise(F.concat(F.lit("data:image/png;base64,"), F.base64("content")))
+    icons = d.select("pkg_id", F.col("doc_id").alias("item"), icon.alias("icon"))
+    files = d.select("pkg_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "content")
+    return config.icon_matches(icons, files).select(F.col("item").alias("doc_id"), "icon_path")
 
 
-@query("jn12_stage_times", """select conv_id, role, min(turn) as first_turn, max(turn) as last_turn, max(turn) - min(turn) as span from conversations group by conv_id, role""")
+@query("jn12_stage_times", """select e.user_id, e.event_type, e.event_id as at_ms, coalesce(e.event_id - (select max(s.event_id) from events s where s.user_id = e.user_id and s.event_type = e.event_type and s.event_id % 3 = 0 and s.event_id <= e.event_id), 0) as duration_ms
+       from events e where e.event_id % 3 = 1""")
 def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last turn of each role: a stage's start joined with its finish."""
-    c = table(spark, sf_dir, "conversations")
-    start, end = (c.groupBy("conv_id", "role").agg(f("turn").alias(n)) for f, n in ((F.min, "first_turn"), (F.max, "last_turn")))
-    return start.join(end, ["conv_id", "role"]).withColumn("span", F.col("last_turn") - F.col("first_turn"))
+    """Events as starts and finishes of a user's stages: a finish is timed from the stage's last start."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("at_ms"))
+    done = tasks.stage_durations(e.where("at_ms % 3 = 0"), e.where("at_ms % 3 = 1"))
+    return done.select(F.col("task_id").alias("user_id"), F.col("stage").alias("event_type"), "at_ms", "duration_ms")
 
 
 @query("jn13_dups", """select conv_id, role, count(*) as entries, count(distinct sha256(text)) as contents, count(distinct sha256(text)) > 1 as divergent from conversations group by conv_id, role having count(*) > 1""")
@@ -153,17 +160,17 @@ def lag_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.changed(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).select("user_id", "event_id", "event_type")
 
 
-@query("wn7_tail", "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 16")
+@query("wn7_tail", "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 256")
 def tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.tail(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 16).select("user_id", "event_id")
+    return merge.tail(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], merge.TAIL).select("user_id", "event_id")
 
 
-@query("ag3_status_counts", """select l_returnflag, count(*) filter (l_linestatus = 'O') as formatted, count(*) filter (l_linestatus = 'F') as unchanged, count(*) filter (l_linestatus not in ('O', 'F')) as failed,
-       count(*) filter (l_linestatus not in ('O', 'F')) > 0 as partial from lineitem group by l_returnflag""")
+@query("ag3_status_counts", """select user_id, count(*) filter (event_type = 'view') as formatted, count(*) filter (event_type = 'click') as unchanged, count(*) filter (event_type = 'purchase') as skipped,
+       count(*) filter (event_type not in ('view', 'click', 'purchase')) as failed, count(*) filter (event_type not in ('view', 'click', 'purchase')) > 0 as partial from events group by user_id""")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("l_linestatus")
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(s == "O").alias("formatted"), F.count_if(s == "F").alias("unchanged"), F.count_if(~s.isin("O", "F")).alias("failed"))
-    return g.withColumn("partial", F.col("failed") > 0)
+    """Events as files that were formatted: types without a status of that kind are unknown, thus failures."""
+    status = F.when(F.col("event_type") == "view", "formatted").when(F.col("event_type") == "click", "unchanged").when(F.col("event_type") == "purchase", "skipped").otherwise(F.col("event_type"))
+    return tasks.status_counts(table(spark, sf_dir, "events").select("user_id", status.alias("status")), "user_id")
 
 
 CODE = "case event_type when 'click' then 'recover.js.page.' || event_id % 3 when 'error' then 'verify.js.unparsable' when 'signup' then 'manifest.x' when 'purchase' then 'odd' else 'format.files.y' end"
@@ -199,18 +206,20 @@ def fallback_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.dedupe_fallback(_diagnostics(spark, sf_dir)).select("seq", "code", "file")
 
 
-@query("st4_claimed", "select s_suppkey, s_nationkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49 and l_suppkey is not null)")
+@query("st4_claimed", "select p_partkey, p_brand from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49 and l_discount > 0.05 and l_partkey is not null)")
 def claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
-    return merge.without(table(spark, sf_dir, "supplier"), taken, ["s_suppkey"]).select("s_suppkey", "s_nationkey")
+    taken = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_discount > 0.05").select(F.col("l_partkey").alias("p_partkey"))
+    return merge.without(table(spark, sf_dir, "part"), taken, ["p_partkey"]).select("p_partkey", "p_brand")
 
 
-@query("st5_set_equality", """with a as (select distinct o_custkey from orders where o_orderstatus = 'F'), b as (select distinct o_custkey from orders where o_orderstatus = 'O')
-       select (select count(*) from (select * from a except select * from b)) as only_first, (select count(*) from (select * from b except select * from a)) as only_second""")
+@query("st5_set_equality", """with a as (select distinct o_custkey as k from orders where o_orderstatus = 'F'), b as (select o_custkey as k from orders where o_orderstatus = 'O')
+       select (select count(*) from (select k from a except select k from b)) as only_first, (select count(*) from (select k from b except select k from a)) as only_second,
+              (select count(*) from (select k from b group by k having count(*) > 1)) as repeated""")
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What either of two sets holds alone; equal sets give zeros. One pass over the flags of each key."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("a"), F.bool_or(F.col("o_orderstatus") == "O").alias("b"))
-    return o.agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_first"), F.count_if(F.col("b") & ~F.col("a")).alias("only_second"))
+    """Customers with finished orders against those with open ones, which are listed once for each order."""
+    o = table(spark, sf_dir, "orders")
+    key = lambda status: o.where(F.col("o_orderstatus") == status).select("o_custkey")
+    return merge.set_differences(key("F").distinct(), key("O"), ["o_custkey"])
 
 
 @query("st6_distinct_list", """select conv_id, string_agg(role, ',' order by first_turn) as roles from (select conv_id, role, min(turn) as first_turn from conversations group by conv_id, role) group by conv_id""")
@@ -262,23 +271,39 @@ def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(e.select((F.col("user_id") % 50).cast("string").alias("service"), (F.col("event_id") * 1000).alias("t_ms"), (F.col("event_type") != "error").alias("ok")))
 
 
-@query("sc21_labels", "select n.n_name, r.r_name as label, count(*) as customers from customer c join nation n on c.c_nationkey = n.n_nationkey left join region r on n.n_regionkey = r.r_regionkey group by all")
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes looked up in dimension tables (a few rows each; the optimizer broadcasts them by their size)."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey, "left").select("n_name", F.col("r_name").alias("label"), "customers")
+STAGE = "case event_type when 'view' then 'unpacking' when 'click' then 'formatting' when 'purchase' then 'packaging' else event_type end"
+ENGINE = "case event_type when 'view' then 'native' when 'click' then 'parser' else event_type end"
 
 
-@query("x10_metrics", "select event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, try_cast(value as bigint) as v from events")
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers out of a JSON map, null where they aren't any; doubles round to integers half to even."""
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.rint("value").cast("long").alias("v"))
+@query("sc21_labels", f"""with e as (select {STAGE} as stage, {ENGINE} as engine, count(*) as n from events group by 1, 2)
+       select stage, case stage when 'unpacking' then '解包文件' when 'formatting' then '整理代码格式' when 'packaging' then '生成下载文件' else '处理当前步骤' end as stage_label,
+              case engine when 'native' then '内置反编译' when 'parser' then '语法与引用检查' else engine end as engine_label, n from e""")
+def stage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stages and engines, with the labels that a report shows."""
+    e = table(spark, sf_dir, "events").selectExpr(f"{STAGE} as stage", f"{ENGINE} as engine").groupBy("stage", "engine").agg(F.count("*").alias("n"))
+    return e.select("stage", labels.stage_label(F.col("stage")).alias("stage_label"), labels.engine_label(F.col("engine")).alias("engine_label"), "n")
 
 
-@query("x28_unpivot", "select l_returnflag, metric, cast(value as bigint) as value from (select l_returnflag, cast(count(*) as bigint) as lines, cast(sum(l_linenumber) as bigint) as numbers, cast(max(l_linenumber) as bigint) as most from lineitem group by 1) unpivot (value for metric in (lines, numbers, most))")
+@query("x10_metrics", """select event_id, cast(trunc(value) as bigint) as v, case when event_id % 3 <> 0 then event_id // 2 end as k, case when event_id % 3 = 0 then 'e' || event_id else '' end as t from events""")
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and texts out of a JSON map; what isn't of the kind asked for is null or empty."""
+    odd = F.col("event_id") % 3 == 0
+    k = F.when(odd, F.concat(F.lit('"e'), F.col("event_id").cast("string"), F.lit('"'))).otherwise((F.col("event_id") / 2).cast("string"))
+    doc = F.try_parse_json(F.concat(F.lit('{"v":'), F.coalesce(F.col("value").cast("string"), F.lit("null")), F.lit(',"k":'), k, F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", scalars.metric_number(doc, "v").alias("v"), scalars.metric_number(doc, "k").alias("k"), scalars.metric_text(doc, "k").alias("t"))
+
+
+@query("x28_unpivot", """with s as (select l_orderkey as pkg_id, count(*) as n, max(l_linenumber) as most, cast(sum(l_linenumber) as integer) as total, bool_and(l_linestatus = 'O') as passed from lineitem group by 1)
+       select pkg_id, cast(unnest([0, 1, 2, 3, 4, 5, 6, 7]) as integer) as place, unnest(['manifest', 'js', 'wxml', 'wxss', 'missing-page-files', 'verifier', 'fallback', 'fallback-adjustment']) as metric,
+              unnest([n || '/100', most || '/100', total || '/100', '100/100', (n - 1) || '%', cast(passed as varchar), cast(not passed as varchar), '-10']) as value,
+              unnest([null, null, null, null, case when n > 1 then 'warning' else 'success' end, case when passed then 'success' else 'warning' end, case when passed then 'neutral' else 'warning' end, 'neutral']) as tone
+       from s where not passed union all
+       select pkg_id, cast(unnest([0, 1, 2, 3, 4, 5, 6]) as integer), unnest(['manifest', 'js', 'wxml', 'wxss', 'missing-page-files', 'verifier', 'fallback']),
+              unnest([n || '/100', most || '/100', total || '/100', '100/100', (n - 1) || '%', cast(passed as varchar), cast(not passed as varchar)]),
+              unnest([null, null, null, null, case when n > 1 then 'warning' else 'success' end, 'success', 'neutral']) from s where passed""")
 def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores as rows of metrics."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.sum("l_linenumber").cast("long").alias("numbers"), F.max("l_linenumber").cast("long").alias("most"))
-    return g.unpivot(["l_returnflag"], ["lines", "numbers", "most"], "metric", "value")
+    """Orders as packages with scores: a row for each figure, one more where there is a penalty."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pkg_id")).agg(
+        F.count("*").alias("manifest"), F.max("l_linenumber").alias("js"), F.sum("l_linenumber").alias("wxml"), F.bool_and(F.col("l_linestatus") == "O").alias("verifier_passed"))
+    ready = g.select("*", F.lit(100).alias("wxss"), (F.col("manifest") - 1).alias("generated_ratio"), (~F.col("verifier_passed")).alias("fallback_used"), F.when(F.col("verifier_passed"), 0).otherwise(10).alias("penalty"))
+    return tasks.score_rows(ready)
