@@ -3,7 +3,7 @@
 Base rules find e-mail addresses, IPv4 addresses, payment cards (Luhn) and international phone numbers; what
 they find always stays. Generators with high recall propose more spans, which may overlap: written-out
 addresses, numbers without a country code, cards and addresses in unusual spacing, IPv6, bank accounts,
-national numbers. Boosted trees score each by its format and context; a calibrated threshold, chosen on rows
+national numbers, secrets (keys and tokens). Boosted trees score each by its format and context; a calibrated threshold for each kind, chosen on rows
 held back from training for a precision of PRECISION or more, selects what is redacted. Of overlapping added
 spans the likeliest stays; one that overlaps a base span adds nothing and goes.
 
@@ -33,8 +33,8 @@ from tarn.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method adds come after those of the base.
-ADDED_KINDS = (*KINDS, "account", "national")
-TRAINING = 6000
+ADDED_KINDS = (*KINDS, "account", "national", "secret")
+TRAINING = 12_000
 PRECISION = 0.995
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,13 +87,15 @@ _GENERATORS = [
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![\w])"), re.compile(r"\[\.\]|\(\.\)|\[dot\]")),
     ("account", re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"), _DIGIT),
     ("national", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _DIGIT),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/_.=-]{16})(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]++"), _DIGIT),
 ]
 _TELLING = {
     "email": ("mail", "e-mail", "email", "contact", "write", "reach"), "ip": ("ip", "address", "host", "server", "login"),
     "card": ("card", "visa", "mastercard", "credit", "debit", "amex"), "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "telephone", "sms"),
     "account": ("iban", "account", "bank", "konto"), "national": ("ssn", "social", "security", "passport", "id"),
+    "secret": ("token", "secret", "key", "apikey", "api-key", "password", "passwd", "auth", "bearer", "credential", "access"),
 }
-_AGAINST = ("order", "invoice", "version", "isbn", "ref", "no", "item", "part", "page", "total", "date", "license", "rfc", "build", "token", "serial", "price", "art")
+_AGAINST = ("order", "invoice", "version", "isbn", "ref", "no", "item", "part", "page", "total", "date", "license", "rfc", "build", "serial", "commit", "sha", "md", "digest", "checksum", "revision", "file", "path", "price", "art")
 _WORDS = re.compile(r"[A-Za-z][A-Za-z-]*")
 
 
@@ -106,6 +108,10 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def national_ok(s: str) -> bool:
+    return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and the 40 code points before and after it, as numbers."""
     kind, a, b = span
@@ -114,7 +120,7 @@ def features(text: str, span: Span) -> list[float]:
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
     near = [w.lower().rstrip("-") for w in _WORDS.findall(before)][-4:]
     year = bool(re.match(r"(?:19|20)[0-9]{2}(?![0-9])|[0-9]{1,2}[./-][0-9]{1,2}[./-]", s))
-    checks = {"card": 12 <= len(d) <= 19 and luhn(d), "account": kind == "account" and iban_ok(s), "national": d[:3] not in ("000", "666") and d[:1] != "9" and d[3:5] != "00" and d[5:] != "0000"}
+    checks = {"card": 12 <= len(d) <= 19 and luhn(d), "account": kind == "account" and iban_ok(s), "national": kind == "national" and national_ok(s)}
     return [
         float(ADDED_KINDS.index(kind)), float(b - a), float(len(d)), float(len(groups)), float(max(groups)), float(min(groups)),
         float(len(set(groups)) == 1), float("(" in s), float("-" in s), float("." in s), float("/" in s), float(" " in s), float(s[:2] == "00"), float(s[:1] == "0"),
@@ -122,6 +128,7 @@ def features(text: str, span: Span) -> list[float]:
         float(before[-1:].isalnum()), float(before.rstrip()[-1:] == ":"), float(before.rstrip()[-1:] in tuple("#$€£=\"'")), float(after[:1].isalnum()), float(after[:1] in tuple("%€$")),
         float(len(s) and sum(c.isalpha() for c in s) / len(s)), float(bool(re.search(r"(?:dot|\.) ?[\])}]? ?(?:com|org|net|edu|de|fr|es|io|uk|info)$", s, re.I))), float(len(set(d))),
         float(bool(re.search(r"[(\[{](?:at|dot|\.)[)\]}]", s, re.I))), float(s.count(":")), float("::" in s), float(bool(re.search("[a-f]", s, re.I)) and kind == "ip"),
+        float(len(set(s)) / len(s)), float(len(re.findall("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", s)) / len(s)), float(max(map(len, re.findall("[A-Za-z]+", s)), default=0) / len(s)), float(before[-1:] in tuple("\"'")), float(bool(re.search("[:=]\\s*[\"']?$", before))),
     ]
 
 
@@ -150,12 +157,24 @@ def _synthetic(rnd: random.Random) -> tuple[str, Span, int]:
         key = 98 - int("".join(str(int(c, 36)) for c in body + land) + "00") % 97
         s = f"{land}{key if good else (key + rnd.randint(1, 90)) % 97:02d}{body}"
         s = " ".join(re.findall(".{1,4}", s)) if rnd.random() < 0.5 else s
+    elif kind == "secret":
+        some = lambda letters, k: "".join(rnd.choice(letters) for _ in range(k))
+        hexes, any_ = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        forms = (some(hexes, rnd.choice((32, 40, 64))), some(any_, rnd.randint(20, 48)), f"sk-{some(any_, 40)}", f"AKIA{some(any_[:26] + any_[52:], 16)}", f"ghp_{some(any_, 36)}", some(any_ + "+/", 40), ".".join((some(any_, 20), some(any_, 40), some(any_, 27))))
+        plain = ("_".join(word() for _ in range(4)) + num(1), "-".join((some(hexes, 8), some(hexes, 4), some(hexes, 4), some(hexes, 12))), "/".join(word() for _ in range(4)) + f"/{word()}{num(2)}.txt", f"{word()}{word()}{word()}{num(2)}", f"{num(4)}-{num(2)}-{num(2)}T{num(2)}", f"{num(17)}{word()}")
+        formed = good or rnd.random() < 0.5
+        s = rnd.choice(forms if formed else plain)
+        s = s if _DIGIT.search(s) else s[:-1] + num(1)
     else:
         s = f"{rnd.randint(1, 665):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}" if good else rnd.choice((f"{rnd.randint(900, 999)}-{num(2)}-{num(4)}", f"{num(3)}-00-{num(4)}", f"000-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}"))
     tell = rnd.random()
-    lead = f"{rnd.choice(_TELLING[kind])}{rnd.choice((':', '', ' is'))} " if tell < (0.65 if good else 0.1) else f"{rnd.choice(_AGAINST)}{rnd.choice((' ', ': ', ' #', ' = '))}" if tell > (0.98 if good else 0.5) else ""
-    if kind == "national" and not lead.strip():
-        good = False  # the format alone says too little
+    between = (' = "', ": ", "=", '="', ': "', " = ") if kind == "secret" else (": ", " ", " is ")
+    lead = f"{rnd.choice(_TELLING[kind])}{rnd.choice(between)}" if tell < (0.65 if good else 0.1) else f"{rnd.choice(_AGAINST)}{rnd.choice((' ', ': ', ' #', ' = '))}" if tell > (0.98 if good else 0.5) else ""
+    told = any(lead.startswith(w) for w in _TELLING[kind])
+    if kind == "national":
+        good = national_ok(s) and told  # the format alone says too little
+    if kind == "secret":
+        good = formed and told
     if kind == "phone" and not lead.strip() and "(" not in s and not s.startswith("00"):
         good = False
     head = " ".join(word() for _ in range(rnd.randint(0, 5)))
@@ -164,21 +183,26 @@ def _synthetic(rnd: random.Random) -> tuple[str, Span, int]:
 
 
 @lru_cache(1)
-def model(rows: int = TRAINING) -> tuple[Boosted, float]:
-    """The calibrated trees and the threshold: trained on half the rows, calibrated on a quarter, cut on the last."""
+def model(rows: int = TRAINING) -> tuple[Boosted, dict[str, float]]:
+    """The calibrated trees and each kind's threshold: trained on half the rows, calibrated on a quarter, cut on the last."""
     rnd = random.Random(20240501)
     made = [_synthetic(rnd) for _ in range(rows)]
     x, y = np.array([features(t, s) for t, s, _ in made]), np.array([g for *_, g in made], float)
     a, b = rows // 2, 3 * rows // 4
-    trees = Boosted().fit(x[:a], y[:a]).calibrate(x[a:b], y[a:b])
-    p, t = trees.probability(x[b:]), y[b:]
+    trees = Boosted(rounds=120, depth=4, rate=0.15).fit(x[:a], y[:a]).calibrate(x[a:b], y[a:b])
+    p, t, kinds = trees.probability(x[b:]), y[b:], np.array([span[0] for _, span, _ in made[b:]])
+    return trees, {kind: _threshold(p[kinds == kind], t[kinds == kind]) for kind in ADDED_KINDS}
+
+
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The least probability, 0.5 or more, from which PRECISION holds; above 1 if it never does."""
     order = np.argsort(-p)
-    precise = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
+    precise = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero(precise >= PRECISION)
-    return trees, max(0.5, float(p[order][good[-1]])) if len(good) else 1.0
+    return max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
 
 
-def spans(text: str, trees: Boosted, threshold: float) -> tuple[list[Span], list[Span]]:
+def spans(text: str, trees: Boosted, thresholds: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, kind, end."""
     base = base_spans(text)
     taken: list[tuple[int, int]] = []  # disjoint, in order
@@ -192,9 +216,7 @@ def spans(text: str, trees: Boosted, threshold: float) -> tuple[list[Span], list
         return base, base
     p, added = trees.probability(np.array([features(text, s) for s in free])), []
     for k in np.lexsort((np.arange(len(free)), -p)):
-        if p[k] < threshold:
-            break
-        if not _hits(taken, free[k]):
+        if p[k] >= thresholds[free[k][0]] and not _hits(taken, free[k]):
             added.append(free[k])
             insort(taken, free[k][1:])
     return base, sorted(base + added, key=_order)
@@ -222,7 +244,7 @@ def joined(found: list[Span]) -> str:
 def annotate(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (of the base), base_spans and spans; redacted replaces the text, too."""
     ship(docs.sparkSession)
-    trees, threshold = model()
+    trees, thresholds = model()
     new = [*(f"n_{k}" for k in KINDS), "base_spans", "spans"]
     kept = docs.drop(*new)
     schema = StructType([*kept.schema.fields, *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_spans", StringType()), StructField("spans", StringType())])
@@ -233,7 +255,7 @@ def annotate(docs: DataFrame, text: str = "text", redacted: bool = False) -> Dat
             counts, base, every, texts = {k: [] for k in KINDS}, [], [], []
             for t in batch.column(at).cast(pa.binary()):
                 s = t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else None
-                fixed, found = spans(s, trees, threshold) if s else ([], [])
+                fixed, found = spans(s, trees, thresholds) if s else ([], [])
                 for k in KINDS:
                     counts[k].append(sum(x[0] == k for x in fixed))
                 base.append(joined(fixed))

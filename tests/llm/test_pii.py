@@ -71,29 +71,42 @@ def test_edge_texts(spark):
     assert pii.annotate(frame(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("text", ["write to jane.doe (at) example (dot) com please", "phone: (415) 555-0199 now", "iban DE89 3704 0044 0532 0130 00 thanks", "my ssn is 123-45-6789 ok", "server 10[.]0[.]0[.]7 up"])
+@pytest.mark.parametrize("text", ["write to jane.doe (at) example (dot) com please", "phone: (415) 555-0199 now", "iban DE89 3704 0044 0532 0130 00 thanks", "my ssn is 123-45-6789 ok", "server 10[.]0[.]0[.]7 up", 'api_key = "Zk3pQ9vL2xT7aBn5Rw8Ys4Gd1Hj6"', "auth token: 9c1f7be02d45a8e36b0f7729cd41e8a65d3b02e1 ok"])
 def test_added(text):
     assert len(pii.spans(text, *pii.model())[1]) == 1
 
 
-@pytest.mark.parametrize("text", ["license version 2.0 of 2004-01-15 at 12:30:55", "order 1234567 page 12 total 1,299.00", "we met at noon. there were 3 of us at 10 dot nothing", "chapter 12 3 4 5", "4845168114407328 is no card"])
+@pytest.mark.parametrize("text", ["license version 2.0 of 2004-01-15 at 12:30:55", "order 1234567 page 12 total 1,299.00", "we met at noon. there were 3 of us at 10 dot nothing", "chapter 12 3 4 5", "4845168114407328 is no card", "commit 64dbebab91ab85687d33eeaaf9ac699e1188f962 fixed it", "see file docs/2024/some_long_name_of_a_file_12.txt there"])
 def test_clean(text):
     assert pii.spans(text, *pii.model())[1] == []
 
 
 def test_held_out_accuracy():
-    trees, threshold = pii.model()
+    trees, thresholds = pii.model()
     rnd = random.Random(7)
     made = [pii._synthetic(rnd) for _ in range(3000)]
     p, y = trees.probability(np.array([pii.features(t, s) for t, s, _ in made])), np.array([g for *_, g in made])
-    picked = p >= threshold
+    kinds = np.array([s[0] for _, s, _ in made])
+    picked = p >= np.array([thresholds[k] for k in kinds])
     assert y[picked].mean() >= 0.97 and picked[y == 1].mean() >= 0.7
+    for kind in pii.ADDED_KINDS:
+        mine = kinds == kind
+        assert y[picked & mine].mean() >= 0.95 and picked[mine & (y == 1)].mean() >= 0.6, kind
     assert abs(p.mean() - y.mean()) < 0.05
 
 
-def test_added_only_in_few_clean_documents(spark, sf):
-    rows = pii.annotate(spark.read.parquet(f"{sf}/documents.parquet")).collect()
-    assert sum(r["spans"] != r["base_spans"] for r in rows) <= 2
+def test_documents_get_their_secrets_and_little_else(spark):
+    """Of the corpus's own candidates: each quoted token after "token =" is selected; other additions are few."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    other, secrets = 0, 0
+    for text in texts.values():
+        base, every = pii.spans(text, *pii.model())
+        added = set(every) - set(base)
+        want = {("secret", *m.span(1)) for m in re.finditer('token = "([0-9a-f]{40})"', text)}
+        assert want <= added
+        secrets += len(want)
+        other += len(added - want)
+    assert secrets and other <= 2
 
 
 def test_every_positive_form_is_proposed():
