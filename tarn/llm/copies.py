@@ -82,12 +82,12 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs(u, v) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("entry").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("entry").alias("v"), F.col("shingles").alias("b")), "v")
-    least, most = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(least >= similarity * most).where(shared >= similarity * (least + most - shared)).select("u", "v")
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, *names: str) -> DataFrame:
+    """pairs(u, v, ...) whose sets are similar enough: their named columns."""
+    both = pairs.join(sets.select(F.col("entry").alias("u"), F.col("shingles").alias("__a")), "u").join(sets.select(F.col("entry").alias("v"), F.col("shingles").alias("__b")), "v")
+    least, most = F.least(F.size("__a"), F.size("__b")), F.greatest(F.size("__a"), F.size("__b"))
+    shared = F.size(F.array_intersect("__a", "__b"))
+    return both.where(least >= similarity * most).where(shared >= similarity * (least + most - shared)).select(*names)
 
 
 def _by_fingerprint(entries: DataFrame) -> DataFrame:
@@ -109,14 +109,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     first = written(first.select("u", "v").distinct(), "first")
     own = met.select("entry").union(first.select("u")).union(first.select("v")).distinct()
     sets = written(rows.select("entry", "shingles").join(own, "entry", "left_semi").dropDuplicates(["entry"]), "sets")
-    links = written(_similar(first, sets, similarity), "links")
-    roots = components(links).withColumnRenamed("node", "entry")
+    roots = written(components(_similar(first, sets, similarity, "u", "v")).withColumnRenamed("node", "entry"), "roots")
     placed = written(met.join(roots, "entry", "left").select("band", "entry", F.coalesce("root", "entry").alias("root")), "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
     left = written(placed.join(mixed.hint("merge"), "band"), "mixed")
     more = left.selectExpr("band", "entry as u", "root as a").hint("merge").join(left.selectExpr("band", "entry as v", "root as b"), "band").where("u > v and a <> b")
-    links = links.union(written(_similar(more.select("u", "v").distinct(), sets, similarity), "links"))
-    named = entries.select("entry", "least").join(components(links).withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+    # components of components: the links left join roots, of which few are in any
+    again = components(_similar(more.select("u", "v", "a", "b").distinct(), sets, similarity, "a", "b").withColumnsRenamed({"a": "u", "b": "v"}))
+    named = entries.select("entry", "least").join(roots, "entry", "left").withColumn("node", F.coalesce("root", "entry")).drop("root")
+    named = named.join(again, "node", "left").select("entry", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(named.join(names, "root").select("entry", "root", "component_id"), "classes")
     return rows.select("doc_id", "text_hash", "entry").join(classes, "entry").select("doc_id", "text_hash", "root", "component_id")
