@@ -33,7 +33,7 @@ from tarn.session import ship
 
 TOP = 20
 FIT = 16_384
-CODE_BLOCK, QUERY_BLOCK = 32_768, 512
+CODE_BLOCK, QUERY_BLOCK = 16_384, 8_192
 WIDTH, CENTROIDS, LEVELS = 2, 16, 3
 #: Cosine above which scores matter; eta follows from it and the dimension.
 THRESHOLD = 0.2

@@ -7,10 +7,12 @@ A text's set holds the 64-bit hashes of its shingles. Equal sets are one entry.
   few of those pairs. ROWS minima make a band, BANDS of them a sketch; a pair at Jaccard similarity 0.8 shares no
   band with probability (1 - 0.8 ** 4) ** 20 = 3e-5, so that much recall is lost at the limit and less above it.
 
-Each entry is compared with the smallest of each band value it has;
-then all pairs that share a band value and aren't yet in one component are. A cluster of near copies therefore costs
-one comparison for each member and distinct smallest entry, and only values that mix components cost pairs. Joins on
-band values are sort-merge joins, whose hot partitions adaptive execution splits. No candidate is cut.
+Each entry is compared with one pivot of each band value it has: the entry whose band values are the most common ones, which in
+a group of edited copies is the text they were made of. Then all pairs that share a band value and aren't yet in one component are
+compared. A cluster of near copies therefore costs one comparison for each member and pivot, and only values that mix components
+cost pairs. Proposals are first judged by their sketches: a pair at the limit agrees in 64 of the 80 minima, give or take
+4, and goes if it agrees in less than LEAST of them (probability 3e-7); sets are made and joined for the rest alone. Joins on
+band values are sort-merge joins, whose hot partitions adaptive execution splits. No candidate is cut by number.
 
 Defined results: words are those of simhash. A text of fewer words than a shingle has one shingle, a null or blank text
 none; texts without shingles are copies of each other. Null ids take part but are never names. Extra columns are ignored.
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 
 from tarn.llm.components import components
 from tarn.llm.simhash import SEED, links as fingerprint_links, majority
-from tarn.llm.work import written
+from tarn.llm.work import discard, written
 from tarn.session import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
+#: Equal minima below which a pair isn't at SIMILARITY. Other similarities keep the same distance in standard deviations.
+LEAST = 44
 _PART = 1 << 12  # shingles hashed again at once
 
 
@@ -43,20 +47,26 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE):
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def band_values(hashes) -> list[int]:
-    """BANDS signed numbers; none for an empty set."""
+def minima(hashes):
+    """The least of BANDS * ROWS orders of the hashes, uint64; none for an empty set."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     if not len(hashes):
-        return []
+        return np.zeros(0, np.uint64)
     rnd = np.random.default_rng(SEED)
     times, plus = (rnd.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
     times |= np.uint64(1)
     least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
     for i in range(0, len(hashes), _PART):
         least = np.minimum(least, (hashes[i : i + _PART] * times + plus).min(1))
-    return [_signed(xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return least
+
+
+def band_values(least) -> list[int]:
+    """BANDS signed numbers; none for an empty set."""
+    from xxhash import xxh64_intdigest
+
+    return [_signed(xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(-1, ROWS))]
 
 
 def _signed(h: int) -> int:
@@ -64,60 +74,121 @@ def _signed(h: int) -> int:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, entry, fp, bands, shingles): entry is a digest of the shingles."""
+    """(doc_id, text_hash, entry, fp, size, bands, sketch): entry is a digest of the shingles, sketch the minima's last 32 bits."""
     ship(docs.sparkSession)
-    schema = "doc_id long, text_hash long, entry long, fp long, bands array<long>, shingles array<long>"
+    schema = "doc_id long, text_hash long, entry long, fp long, size int, bands array<long>, sketch array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(2)]
-            entries = pa.array([_signed(xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
-            bands = pa.array([band_values(s) for s in sets], pa.list_(pa.int64()))
-            fps = pa.array([_signed(majority(s.astype(">u8").view("uint8").reshape(-1, 8))) for s in sets], pa.int64())
-            shingles = pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), entries, fps, bands, shingles], ["doc_id", "text_hash", "entry", "fp", "bands", "shingles"])
+            rows: list[list] = [[] for _ in range(5)]
+            for t in batch.column(2):
+                found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)
+                least = minima(found)
+                values = (_signed(xxh64_intdigest(found.tobytes(), SEED)), _signed(majority(found.astype(">u8").view("uint8").reshape(-1, 8))), len(found), band_values(least), least.astype("uint32").view("int32"))
+                for column, value in zip(rows, values, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text_hash", "entry", "fp", "size", "bands", "sketch"])
+
+    return _keyed(docs, doc_id, text).mapInArrow(run, schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, *names: str) -> DataFrame:
-    """pairs(u, v, ...) whose sets are similar enough: their named columns."""
-    both = pairs.join(sets.select(F.col("entry").alias("u"), F.col("shingles").alias("__a")), "u").join(sets.select(F.col("entry").alias("v"), F.col("shingles").alias("__b")), "v")
-    least, most = F.least(F.size("__a"), F.size("__b")), F.greatest(F.size("__a"), F.size("__b"))
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return both.where(least >= similarity * most).where(shared >= similarity * (least + most - shared)).select(*names)
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """docs(doc_id, text_hash, text) and wanted(entry, doc_id, text_hash) to (entry, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle).view("int64") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["entry", "shingles"])
+
+    w = wanted.select("entry", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    one = docs.join(w, docs["doc_id"].eqNullSafe(w["__id"]) & (docs["text_hash"] == w["__hash"]))
+    return one.select("entry", "text").mapInArrow(run, "entry long, shingles array<long>")
+
+
+class _Judge:
+    """Decides which pairs of entries are similar enough: by sizes and sketches, then by whole sets."""
+
+    def __init__(self, docs: DataFrame, entries: DataFrame, shingle: int, similarity: float):
+        self.docs, self.entries, self.shingle, self.similarity = docs, entries, shingle, similarity
+        least = BANDS * ROWS * similarity
+        spread = (BANDS * ROWS * SIMILARITY * (1 - SIMILARITY)) ** 0.5
+        self.least = int(least - (BANDS * ROWS * SIMILARITY - LEAST) * (BANDS * ROWS * similarity * (1 - similarity)) ** 0.5 / spread)
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs(u, v, ...) those that sizes and sketches don't rule out."""
+        known = lambda side: self.entries.select(F.col("entry").alias(side), F.col("size").alias(f"__n{side}"), F.col("sketch").alias(f"__s{side}"))
+        both = pairs.join(known("u"), "u").join(known("v"), "v")
+        near = F.least("__nu", "__nv") >= self.similarity * F.greatest("__nu", "__nv")
+        equal = F.aggregate(F.zip_with("__su", "__sv", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+        return both.where(near).where(equal >= self.least).select(*pairs.columns)
+
+    def similar(self, pairs: DataFrame, *names: str) -> DataFrame:
+        """Of pairs(u, v, ...) those at the similarity or above: their named columns, as a written table."""
+        likely = written(self.likely(pairs), "likely")
+        wanted = self.entries.join(likely.select(F.col("u").alias("entry")).union(likely.select("v")).distinct(), "entry", "left_semi")
+        sets = written(_sets(self.docs, wanted, self.shingle), "sets")
+        side = lambda name: sets.select(F.col("entry").alias(name), F.col("shingles").alias(f"__{name}"))
+        both = likely.join(side("u"), "u").join(side("v"), "v")
+        shared = F.size(F.array_intersect("__u", "__v"))
+        alike = both.where(shared >= self.similarity * (F.size("__u") + F.size("__v") - shared)).select(*names)
+        links = written(alike.distinct(), "links")
+        discard(likely, sets)
+        return links
 
 
 def _by_fingerprint(entries: DataFrame) -> DataFrame:
-    """(u, v): entries of one fingerprint with the smallest of it, and those smallest ones of linked fingerprints."""
+    """(u, v): each entry with the smallest of its fingerprint, and that of the smallest fingerprint linked to its own."""
     firsts = written(entries.groupBy("fp").agg(F.min("entry").alias("first")), "firsts")
-    same = entries.select("entry", "fp").join(firsts, "fp").where("entry <> first").selectExpr("entry as u", "first as v")
-    near = fingerprint_links(firsts.select("fp")).join(firsts.selectExpr("fp as u", "first as a"), "u").join(firsts.selectExpr("fp as v", "first as b"), "v")
-    return same.union(near.select("a", "b"))
+    linked = fingerprint_links(firsts.select("fp"))
+    near = linked.groupBy("u").agg(F.min("v").alias("v"))
+    near = near.join(firsts.selectExpr("fp as u", "first as a"), "u").join(firsts.selectExpr("fp as v", "first as b"), "v").select("a", "b")
+    pairs = written(entries.select("entry", "fp").join(firsts, "fp").where("entry <> first").select("entry", "first").union(near).toDF("u", "v"), "near")
+    discard(firsts, linked)
+    return pairs
+
+
+def _by_band(entries: DataFrame) -> DataFrame:
+    """(band, entry, pivot) for band values that entries share: the pivot has the most common values, the smallest of equals."""
+    keyed = entries.select("entry", F.explode("bands").alias("band"))
+    shared = written(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    often = written(keyed.join(shared.hint("merge"), "band"), "often")
+    score = written(often.groupBy("entry").agg(F.sum("n").alias("score")), "score")
+    scored = written(often.join(score.hint("merge"), "entry").select("band", "entry", "score"), "scored")
+    pivots = written(scored.groupBy("band").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry"))["entry"].alias("pivot")), "pivots")
+    met = written(scored.select("band", "entry").join(pivots.hint("merge"), "band"), "met")
+    discard(shared, often, score, scored, pivots)
+    return met
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root, component_id) for every row of docs: root numbers the row's component, component_id is its smallest id."""
     rows = written(sketches(docs, doc_id, text, shingle), "sketches")
-    entries = written(rows.groupBy("entry").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "entries")
-    keyed = entries.select("entry", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("entry").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    met = written(keyed.join(shared.hint("merge"), "band"), "met")
-    first = met.where("entry <> v").select(F.col("entry").alias("u"), "v").union(_by_fingerprint(entries)).select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
-    first = written(first.select("u", "v").distinct(), "first")
-    own = met.select("entry").union(first.select("u")).union(first.select("v")).distinct()
-    sets = written(rows.select("entry", "shingles").join(own, "entry", "left_semi").dropDuplicates(["entry"]), "sets")
-    roots = written(components(_similar(first, sets, similarity, "u", "v")).withColumnRenamed("node", "entry"), "roots")
-    placed = written(met.join(roots, "entry", "left").select("band", "entry", F.coalesce("root", "entry").alias("root")), "placed")
+    whole = rows.groupBy("entry").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("fp", "size", "bands", "sketch")))
+    entries = written(whole.select("entry", "least", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), "fp", "size", "bands", "sketch"), "entries")
+    judge = _Judge(_keyed(docs, doc_id, text), entries, shingle, similarity)
+    met, near = _by_band(entries), _by_fingerprint(entries)
+    links = judge.similar(met.where("entry <> pivot").select(F.col("entry").alias("u"), F.col("pivot").alias("v")).union(near).distinct(), "u", "v")
+    roots = components(links)
+    discard(near, links)
+    placed = written(met.join(roots.withColumnRenamed("node", "entry"), "entry", "left").select("band", "entry", F.coalesce("root", "entry").alias("root")), "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
     left = written(placed.join(mixed.hint("merge"), "band"), "mixed")
+    discard(met, placed)
     more = left.selectExpr("band", "entry as u", "root as a").hint("merge").join(left.selectExpr("band", "entry as v", "root as b"), "band").where("u > v and a <> b")
     # components of components: the links left join roots, of which few are in any
-    again = components(_similar(more.select("u", "v", "a", "b").distinct(), sets, similarity, "a", "b").withColumnsRenamed({"a": "u", "b": "v"}))
-    named = entries.select("entry", "least").join(roots, "entry", "left").withColumn("node", F.coalesce("root", "entry")).drop("root")
+    links = judge.similar(more.select("u", "v", "a", "b").distinct(), "a", "b")
+    again = components(links.toDF("u", "v"))
+    named = entries.select("entry", "least").join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("node", F.coalesce("root", "entry")).drop("root")
     named = named.join(again, "node", "left").select("entry", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(named.join(names, "root").select("entry", "root", "component_id"), "classes")
-    return rows.select("doc_id", "text_hash", "entry").join(classes, "entry").select("doc_id", "text_hash", "root", "component_id")
+    found = written(rows.select("doc_id", "text_hash", "entry").join(classes, "entry").select("doc_id", "text_hash", "root", "component_id"), "copies")
+    discard(rows, entries, left, links, roots, again, classes)
+    return found

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.work import written
+from tarn.llm.work import discard, written
 from tarn.session import ship
 
 SEED = 42
@@ -98,13 +98,15 @@ def _near(u: str, v: str) -> Column:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """distinct(fp) -> (u, v): links that connect all fingerprints within RADIUS of each other."""
+    """distinct(fp) -> (u, v), a written table: links that connect all fingerprints within RADIUS of each other."""
     table = distinct.select("fp", F.explode(F.array(*_segments())).alias("key"))
     crowded = written(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"), "crowded")
     index = table.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("v")).union(crowded.select("key", F.lit(None).cast("long")))
     asked = distinct.select(F.col("fp").alias("u"), F.explode(F.flatten(F.array(*map(_ball, _segments())))).alias("key"))
     met = written(asked.join(index.hint("merge"), "key").where(F.col("v").isNull() | (F.col("u") != F.col("v")) & _near("u", "v")).select("u", "v"), "met")
-    return met.where("v is not null").union(_by_whole(met.where("v is null").select(F.col("u").alias("fp")).distinct()))
+    found = written(met.where("v is not null").union(_by_whole(met.where("v is null").select(F.col("u").alias("fp")).distinct())), "links")
+    discard(crowded, met)
+    return found
 
 
 def _by_whole(distinct: DataFrame) -> DataFrame:
@@ -122,8 +124,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return near_copies(docs, doc_id, text, shingle, similarity)
     fps = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
+    linked = links(distinct.select("fp"))
+    roots = components(linked)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(named.join(names, "root").select("fp", "component_id"), "classes")
+    discard(distinct, linked, roots)
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")

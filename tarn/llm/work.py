@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A table that is read more than once is written as Parquet there: it cuts the lineage, and a lost
-executor costs no more than the tasks it ran.
+executor costs no more than the tasks it ran. discard() removes tables that no plan reads any more.
 """
 
 import atexit
@@ -9,6 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,7 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() gave. What was derived from them must have been written before."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
