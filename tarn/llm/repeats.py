@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.suffix import suffix_array
-from tarn.llm.work import written
+from tarn.llm.work import discard, written
 from tarn.session import ship
 
 SPAN = 400
@@ -256,6 +256,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     one = bodies.withColumn("k", F.row_number().over(Window.partitionBy("text_id").orderBy("text_id"))).where("k = 1").drop("k")
     bodies = written(one.join(shared, "text_id").select("tid", "body", "shared"), "bodies")
 
+    discard(often)
+
     found_in = written(bodies.mapInArrow(_contexts(span), "tid long, base int, ck binary, h long, off int, ctx binary"), "contexts")
     distinct = found_in.groupBy("ck").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.first("off").alias("off"), F.first("ctx").alias("ctx"))
     distinct = written(distinct.select("h", "ck", "off", "ctx", "n"), "distinct")
@@ -265,6 +267,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     again = windows.groupBy("w").agg(F.sum("n").alias("m")).where("m > 1").select("w")
     counted = windows.join(again, "w").groupBy("ck").agg(F.collect_list(F.struct("s", F.col("s").alias("e"))).alias("found"))
     found = written(usual.unionByName(counted), "found")
+    discard(distinct)
 
     hits = found_in.select("ck", "tid", "base").join(found, "ck").groupBy("tid").agg(F.collect_list(F.struct("base", "found")).alias("hits"))
     cut = bodies.select("tid", "body").join(hits, "tid").mapInArrow(_cut(span), "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>")
@@ -279,7 +282,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
         pick(F.sha2(F.lit(b""), 256), F.col("kept_sha256"), F.lower(F.hex("text_id"))).alias("kept_sha256"),
         pick(all_of_it, F.col("spans"), F.array().cast("array<struct<s:int,e:int>>")).alias("spans"),
     )
-    return rows.select("doc_id", "text_id", "n_bytes").join(written(result, "result"), "text_id")
+    result = written(result, "result")
+    discard(texts, bodies, found_in, found)
+    return rows.select("doc_id", "text_id", "n_bytes").join(result, "text_id")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
