@@ -7,7 +7,8 @@ the vector changes large inner products most, so it costs eta times as much. Cod
 to FIT vectors at most, those with the smallest id hashes; every vector is coded.
 
 Search: distinct query vectors and codes meet in blocks (QUERY_BLOCK by CODE_BLOCK), so no task holds more than
-one of each. A scan adds up table entries (two four-bit codes share a table of 256). A code comes with a bound of what it leaves
+one of each. A code is sent once for each block of queries and a query once for each block of codes; blocks are as large as a task's
+memory comfortably holds (some 10 MB each at 64 components), which keeps these copies few. A scan adds up table entries (two four-bit codes share a table of 256). A code comes with a bound of what it leaves
 of its vector, so a score has an error bound; every vector whose score plus bound reaches the block's TOP + 1st best lower
 bound is ranked by the exact inner product, however many they are. No neighbour is lost, and a block passes on TOP + 1.
 
