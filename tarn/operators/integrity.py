@@ -4,14 +4,15 @@ All are joins, windows and aggregates keyed by pkg_id. Whether a script, style o
 fact; markup can be checked here (functions/markup.py), scripts and styles need a parser of their own.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tarn.functions import paths, scalars
+from tarn.functions import markup, paths, scalars
 
 # Patterns of what recovery leaves behind. Markers are comments that name what was left out.
 MARKER = r"<!-- [a-z]+-recovery: unresolved {} omitted -->"
-TEXT_MARKER, ATTRIBUTE_MARKER = MARKER.format("text"), MARKER.format("attributes")
 COMMENT = r"(?s)<!--.*?-->"
 EMPTY_TEXT = r">\s*Empty\s*<"
 EMPTY_DOUBLE = r'(?i)\b[a-z][a-z0-9:_-]*\s*=\s*"Empty"'
@@ -69,25 +70,49 @@ def attributes(text: Column) -> Column:
     return F.concat(both(ATTRIBUTE_DOUBLE), both(ATTRIBUTE_SINGLE))
 
 
-def markup_counters(text: Column) -> dict[str, Column]:
+def markup_counters(text: Column, marker: str = MARKER) -> dict[str, Column]:
+    """Counters of a markup file. marker is the pattern of a comment that names what was left out, {} standing for its kind."""
     bare = F.regexp_replace(text, COMMENT, "")
     found = sum((F.regexp_count(bare, F.lit(p)) for p in (EMPTY_TEXT, EMPTY_DOUBLE, EMPTY_SINGLE)), F.lit(0))
     events = F.filter(attributes(text), lambda a: scalars.event_attribute(a["name"]))
     return {
         "placeholders": F.when(found >= PLACEHOLDERS, found).otherwise(0),
-        "text_markers": F.regexp_count(text, F.lit(TEXT_MARKER)),
-        "attribute_markers": F.regexp_count(text, F.lit(ATTRIBUTE_MARKER)),
+        "text_markers": F.regexp_count(text, F.lit(marker.format("text"))),
+        "attribute_markers": F.regexp_count(text, F.lit(marker.format("attributes"))),
         "suspicious": F.size(F.filter(events, lambda a: scalars.suspicious_handler(a["value"]))),
         "dynamic": F.size(F.filter(events, lambda a: scalars.dynamic_handler(a["value"]))),
     }
 
 
-def markup_quality(files: DataFrame) -> DataFrame:
+def markup_quality(files: DataFrame, marker: str = MARKER) -> DataFrame:
     """files(pkg_id, path, text) of markup, with counters and has_issue; dynamic bindings are no issue."""
-    counted = files.withColumns(markup_counters(F.col("text")))
+    counted = files.withColumns(markup_counters(F.col("text"), marker))
     return counted.withColumn("has_issue", F.expr("placeholders + text_markers + attribute_markers + suspicious > 0"))
 
 
+def checked_files(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """files(pkg_id, path, size, text) that a parser is for, with class (js, wxml, wxss), skipped, parses and error.
+
+    Markup is checked here. What a parser says of scripts and styles is given: parsed(pkg_id, path, error), error null for a file
+    that parses; a file it says nothing of doesn't. Files above SKIP_BYTES count as parseable without being parsed.
+    """
+    ext = scalars.extension(F.col("path"))
+    kind = F.when(ext.isin("js", "wxs"), "js").when(ext == "wxml", "wxml").when(ext.isin("wxss", "css"), "wxss")
+    marked = files.withColumn("class", kind).where("class is not null").withColumn("skipped", F.col("size") > markup.SKIP_BYTES)
+    marked = marked.withColumn("__text", F.when((F.col("class") == "wxml") & ~F.col("skipped"), F.col("text")))
+    told = markup.with_text_function(marked, "__text", "__error", StringType(), pa.string(), markup.nesting_error)
+    said = parsed.select("pkg_id", "path", F.struct("error").alias("__said"))
+    joined = told.join(said, ["pkg_id", "path"], "left")
+    error = F.when(F.col("skipped"), None).when(F.col("class") == "wxml", F.col("__error")).when(F.col("__said").isNull(), "not parsed").otherwise(F.col("__said.error"))
+    return joined.select("pkg_id", "path", "class", "skipped", error.isNull().alias("parses"), error.alias("error"))
+
+
+def parse_counts(checked: DataFrame) -> DataFrame:
+    """Files and those that parse, of each class, by package: the facts that score() takes; skipped is how many weren't parsed."""
+    n = [(F.count_if((F.col("class") == c) & ok)).alias(f"{c}_{name}") for c in ("js", "wxml", "wxss") for name, ok in (("files", F.lit(True)), ("ok", F.col("parses")))]
+    return checked.groupBy("pkg_id").agg(*n, F.count_if("skipped").alias("skipped"))
+
+
 def quality_summary(counted: DataFrame, missing_refs: DataFrame) -> DataFrame:
     """Sums by package; files with an issue are counted once, those with missing references included."""
     files = counted.where("has_issue").select("pkg_id", "path").union(missing_refs.select("pkg_id", "path")).groupBy("pkg_id").agg(F.count_distinct("path").alias("issue_files"))

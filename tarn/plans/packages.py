@@ -132,6 +132,21 @@ def markup_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.markup_quality(_markup(spark, sf_dir)).select("path", "placeholders", "text_markers", "suspicious", "dynamic", "has_issue")
 
 
+CLASSES = """c as (select d.source || '-' || (d.doc_id // 999) as pkg_id, d.doc_id, case d.doc_id % 3 when 0 then 'js' when 1 then 'wxml' else 'wxss' end as class, d.doc_id % 14 < 2 as skipped,
+       case d.doc_id % 3 when 1 then d.doc_id % 2 = 0 else coalesce(l.quality = 1, false) end as fine from documents d left join labels l on l.doc_id = d.doc_id)"""
+
+
+@query("v2_parse", f"""with {CLASSES} select pkg_id, count(*) filter (class = 'js') as js_files, count(*) filter (class = 'js' and (fine or skipped)) as js_ok, count(*) filter (class = 'wxml') as wxml_files,
+       count(*) filter (class = 'wxml' and (fine or skipped)) as wxml_ok, count(*) filter (class = 'wxss') as wxss_files, count(*) filter (class = 'wxss' and (fine or skipped)) as wxss_ok, count(*) filter (skipped) as skipped from c group by pkg_id""")
+def parse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as scripts, markup and styles: labels stand for what parsers said, unlabelled ones weren't parsed, odd markup isn't nested."""
+    k = F.col("doc_id")
+    path = F.concat(k.cast("string"), F.when(k % 3 == 0, ".js").when(k % 3 == 1, ".wxml").otherwise(".wxss"))
+    d = table(spark, sf_dir, "documents").select(_pkg().alias("pkg_id"), "doc_id", path.alias("path"), F.when(k % 14 < 2, 3 << 20).otherwise(F.octet_length("text")).alias("size"), F.when(k % 2 == 0, "<a></a>").otherwise("<a>").alias("text"))
+    said = d.join(table(spark, sf_dir, "labels"), "doc_id").select("pkg_id", "path", F.when(F.col("quality") != 1, "unexpected token").alias("error"))
+    return integrity.parse_counts(integrity.checked_files(d, said))
+
+
 @query("jn6_markup_refs", """with r as (select page_id, 'import' as tag, './' || ((page_id + 1) % 400) || '.wxml' as src, 'p/' || ((page_id + 1) % 400) || '.wxml' as target from pages
        union all select page_id, 'include', '/p/' || (page_id * 2), 'p/' || (page_id * 2) || '.wxml' from pages)
        select 'p' as pkg_id, 'p/' || page_id || '.wxml' as path, tag, src from r where target not in (select 'p/' || page_id || '.wxml' from pages)""")

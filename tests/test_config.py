@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tarn.functions import labels, scalars
-from tarn.operators import config, merge, tasks
+from tarn.operators import config, integrity, manifest, merge, tasks
 
 
 def rows(df):
@@ -64,3 +64,24 @@ def test_labels_and_metrics(spark):
     states = [("partial", False, True), ("success", False, False), ("queued", None, None), ("x", True, True), ("x", None, True), (None, None, None)]
     tones = spark.createDataFrame(states, "status string, partial boolean, success boolean").select(labels.stage_tone(F.col("status"), F.col("partial"), F.col("success")))
     assert [r[0] for r in tones.collect()] == ["warning", "success", "neutral", "warning", "success", "danger"]
+
+
+def test_malformed_and_layers(spark):
+    files = spark.createDataFrame([("a", "app.json", "{"), ("b", "app.json", "[]"), ("c", "app.json", "{}"), ("d", "x.json", "{"), ("c", "p.json", '{"component": true}'), ("c", "app-service.js", "__wxAppCode__['p.json'] = {\"component\": false}; __wxAppCode__['q.json'] = {}"), ("d", "app-service.js", "__wxAppCode__['p.json'] = {\"component\": true}; __wxAppCode__['p.json'] = {}")], "pkg_id string, path string, text string")
+    assert rows(manifest.malformed(files).select("pkg_id")) == [("a",), ("b",)]
+    got = {(r["pkg_id"], r["route"]) for r in manifest.pages(files).where("source = 'page-json-inferred'").collect()}
+    assert got == {("c", "q"), ("d", "p")}
+
+
+def test_marker_is_a_parameter(spark):
+    df = spark.createDataFrame([("<!-- own: text gone --><!-- x-recovery: unresolved text omitted -->",)], "text string")
+    count = lambda *marker: df.select(integrity.markup_counters(F.col("text"), *marker)["text_markers"]).first()[0]
+    assert count() == 1 and count("<!-- own: {} gone -->") == 1 and count("<!-- other: {} -->") == 0
+
+
+def test_checked_files(spark):
+    files = spark.createDataFrame([("p", "a.js", 1, ""), ("p", "b.wxs", 1, ""), ("p", "c.css", 1, ""), ("p", "d.wxml", 1, "<a>"), ("p", "e.wxml", 3 << 20, "<a>"), ("p", "f.wxml", 1, None), ("p", "g.json", 1, "{")], "pkg_id string, path string, size int, text string")
+    said = spark.createDataFrame([("p", "a.js", None), ("p", "c.css", "odd")], "pkg_id string, path string, error string")
+    got = integrity.checked_files(files, said)
+    assert rows(got.select("path", "class", "skipped", "error")) == [("a.js", "js", False, None), ("b.wxs", "js", False, "not parsed"), ("c.css", "wxss", False, "odd"), ("d.wxml", "wxml", False, "unclosed tag <a>"), ("e.wxml", "wxml", True, None), ("f.wxml", "wxml", False, None)]
+    assert rows(integrity.parse_counts(got)) == [("p", 2, 1, 3, 2, 1, 0, 1)]
