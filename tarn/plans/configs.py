@@ -1,8 +1,13 @@
 """Package configurations made of the driver's tables, taken through the operators on configurations and formats."""
 
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tarn.functions import markup, tree
 from tarn.operators import config, tasks
 from tarn.plans.catalog import query
 from tarn.session import table
@@ -79,3 +84,17 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
         ext, text = F.when(k == number, e).otherwise(ext), F.when(k == number, t).otherwise(text)
     files = table(spark, sf_dir, "pages").select(F.lit("p").alias("pkg_id"), F.concat(F.lit("d"), F.col("page_id").cast("string"), ext).alias("path"), text.alias("text"))
     return tasks.formatted_files(files).select("path", "status", "reason", "output")
+
+
+@query("r14_markup", """select page_id, '<view id="' || page_id || '" wx:if="c">' || case when page_id % 3 = 0 then chr(10) || '<!-- x: text -->    <b></b>' else 't' || page_id || '<b></b>' end || chr(10) || '</view>' || chr(10) as text,
+       cast(case when page_id % 3 = 0 then 1 else 0 end as bigint) as lost_texts from pages""")
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element tree for each page: a block that folds into its element, and a text that every third page lacks."""
+    n = F.col("page_id").cast("string")
+    text = F.when(F.col("page_id") % 3 == 0, '{"unresolved":true}').otherwise(F.concat(F.lit('"t'), n, F.lit('"')))
+    source = F.concat(F.lit('[{"tag":"block","attributes":{"wx:if":"c"},"children":[{"tag":"view","attributes":{"id":"'), n, F.lit('"},"children":[{"text":'), text, F.lit('},{"tag":"b"}]}]}]'))
+    kind = StructType([StructField("text", StringType()), *(StructField(c, LongType()) for c in ("lost_texts", "lost_attributes", "lost_events"))])
+    arrow = pa.struct([("text", pa.string()), *((c, pa.int64()) for c in ("lost_texts", "lost_attributes", "lost_events"))])
+    rows = table(spark, sf_dir, "pages").select("page_id", source.alias("tree"))
+    done = markup.with_text_function(rows, "tree", "done", kind, arrow, partial(tree.markup, marker="<!-- x: {} -->"))
+    return done.select("page_id", "done.text", "done.lost_texts")
