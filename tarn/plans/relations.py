@@ -239,10 +239,17 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.expired(e, "ts", cutoff, protected, "user_id").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("so6_oldest_job", "select event_type, min(event_id) filter (value is not null) as event_id from (select event_type, event_id, value, rank() over (partition by event_type order by ts, event_id) as r from events) where r = 1 group by event_type")
+@query("so6_oldest_job", """with j as (select event_type, event_id, event_id * 10 as t, case when event_id % 4 = 0 then 'claimed' when event_id % 4 = 1 then 'done' else 'waiting' end as state from events),
+       c as (select event_type, event_id, t from j where (state = 'waiting' and t <= 2000000) or (state = 'claimed' and t + 1800000 < 2000000))
+       select event_type, arg_min(event_id, t) as event_id from c group by event_type""")
 def oldest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The oldest row of each queue."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """Events as jobs, each type a queue: the oldest job that waits or whose lease ran out."""
+    from tarn.streaming.folds import next_job
+
+    t, k = F.col("event_id") * 10, F.col("event_id") % 4
+    state = F.when(k == 0, "claimed").when(k == 1, "done").otherwise("waiting")
+    jobs = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("task_id"), state.alias("state"), t.alias("available_ms"), t.alias("claimed_ms"))
+    return next_job(jobs, F.lit(2_000_000), "event_type").select("event_type", F.col("task_id").alias("event_id"))
 
 
 @query("s7_latest", "select user_id, event_type as status, event_id as seq from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")
@@ -256,9 +263,11 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s6_retries", """with j as (select user_id, list(event_type <> 'error' order by event_id)[1:3] as o from events group by user_id), n as (select user_id, o, list_position(o, true) as p from j)
        select user_id, cast(coalesce(p, len(o)) as integer) as attempts, case when p is not null then 'done' when len(o) >= 3 then 'dead' else 'waiting' end as state from n""")
 def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarn.streaming.folds import retried
+    from tarn.streaming.folds import MAX_ATTEMPTS, retried
 
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") != "error").alias("ok")))).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    first = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"), nth.alias("nth")).where(F.col("nth") <= MAX_ATTEMPTS)
+    e = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "ok"))).alias("x"))
     return retried(e.select("user_id", F.col("x.ok").alias("outcomes"))).select("user_id", "attempts", "state")
 
 

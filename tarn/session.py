@@ -1,5 +1,7 @@
 """Session settings that the operators rely on, and the package's way to the executors."""
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -29,7 +31,9 @@ def ship(spark: SparkSession) -> None:
     if _ARCHIVE in context._python_includes:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="tarn-ship-"), _ARCHIVE)
+    folder = tempfile.mkdtemp(prefix="tarn-ship-")  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, _ARCHIVE)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         for f in sorted(root.rglob("*.py")):
             out.write(f, f.relative_to(root.parent))
