@@ -8,9 +8,10 @@ A text's set holds the 64-bit hashes of its shingles. Equal sets are one entry.
   band with probability (1 - 0.8 ** 4) ** 20 = 3e-5, so that much recall is lost at the limit and less above it.
 
 Each entry is compared with one pivot of each band value it has: the entry whose band values are the most common ones, which in
-a group of edited copies is the text they were made of. Then all pairs that share a band value and aren't yet in one component are
-compared. A cluster of near copies therefore costs one comparison for each member and pivot, and only values that mix components
-cost pairs. Proposals are first judged by their sketches: a pair at the limit agrees in 64 of the 80 minima, give or take
+a group of edited copies is the text they were made of. A cluster of near copies therefore costs one comparison for each member and
+pivot. Band values that still mix components name the entries that are left, and these are joined by prefixes: of two sets at the
+similarity each holds one of the other's rarest shingles, as many as it may lack and one more. Shingles that one entry alone has fill most
+prefixes and join nothing, so a passage that many texts share doesn't bring them all together, and no pair is lost. Proposals are first judged by their sketches: a pair at the limit agrees in 64 of the 80 minima, give or take
 4, and goes if it agrees in less than LEAST of them (probability 3e-7); sets are made and joined for the rest alone. Joins on
 band values are sort-merge joins, whose hot partitions adaptive execution splits. No candidate is cut by number.
 
@@ -21,7 +22,7 @@ none; texts without shingles are copies of each other. Null ids take part but ar
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
@@ -167,6 +168,25 @@ def _by_band(entries: DataFrame) -> DataFrame:
     return met
 
 
+def _by_prefix(judge: _Judge, members: DataFrame) -> DataFrame:
+    """members(entry, root) to (u, v, a, b), a written table: pairs of entries, of different roots a and b, that share a shingle of their prefixes."""
+    members = written(members, "members")
+    sets = written(_sets(judge.docs, judge.entries.join(members, "entry", "left_semi"), judge.shingle), "sets")
+    tokens = sets.select("entry", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    times = written(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    own = Window.partitionBy("entry")
+    shared = tokens.join(times.hint("merge"), "token").withColumns({"rank": F.row_number().over(own.orderBy("times", "token")), "known": F.count("*").over(own)})
+    # the n - known shingles that no other entry has come first in the prefix
+    length = F.col("n") - F.ceil(F.col("n") * judge.similarity - 1e-9) + 1 - (F.col("n") - F.col("known"))
+    prefix = written(shared.where(F.col("rank") <= length).select("token", "entry").join(members, "entry"), "prefix")
+    mixed = prefix.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
+    left = written(prefix.join(mixed.hint("merge"), "token"), "left")
+    pairs = left.selectExpr("token", "entry as u", "root as a").hint("merge").join(left.selectExpr("token", "entry as v", "root as b"), "token").where("u > v and a <> b")
+    pairs = written(pairs.select("u", "v", "a", "b").distinct(), "pairs")
+    discard(members, sets, times, prefix, left)
+    return pairs
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root, component_id) for every row of docs: root numbers the row's component, component_id is its smallest id."""
     rows = written(sketches(docs, doc_id, text, shingle), "sketches")
@@ -181,9 +201,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
     left = written(placed.join(mixed.hint("merge"), "band"), "mixed")
     discard(met, placed)
-    more = left.selectExpr("band", "entry as u", "root as a").hint("merge").join(left.selectExpr("band", "entry as v", "root as b"), "band").where("u > v and a <> b")
+    more = _by_prefix(judge, left.select("entry", "root").distinct())
     # components of components: the links left join roots, of which few are in any
-    links = judge.similar(more.select("u", "v", "a", "b").distinct(), "a", "b")
+    links = judge.similar(more, "a", "b")
+    discard(more)
     again = components(links.toDF("u", "v"))
     named = entries.select("entry", "least").join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("node", F.coalesce("root", "entry")).drop("root")
     named = named.join(again, "node", "left").select("entry", "least", F.coalesce("root", "node").alias("root"))
