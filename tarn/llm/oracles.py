@@ -34,3 +34,30 @@ WARC = """with p as (select page_id, coalesce(html, '') as html from pages),
     n as (select *, list_transform(range(8), lambda k: ('0x' || hex[k * 5 + 1:k * 5 + 5])::integer) as parts from d)
     select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (parts[j // 4 + 1] >> (15 - 5 * (j % 4)) & 31) + 1, 1)), '') as payload_digest,
            case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from n"""
+
+FILTER_AUDIT = r"""with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as part from documents),
+    w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words from d),
+    e as (select t, min(doc_id) as first_id from d group by t),
+    g as (select doc_id, max((quality = 1)::integer) as good, max((toxic = 1)::integer) as toxic from labels group by doc_id),
+    m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+          case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+          + case when 100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 2 * length(w.t) then 4 else 0 end
+          + case when regexp_matches(w.t, '[#$%&*|]') then 8 else 0 end + case when w.doc_id > first_id then 16 else 0 end as mask
+          from w join e on e.t = w.t left join g on g.doc_id = w.doc_id),
+    c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+    f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+    o as (select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e
+          where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s as (select filter_order, unnest(range(1, 6)) as step from o),
+    b as (select filter_order, step, substr(filter_order, step::integer, 1) as filter, (1 << (instr('ABCDE', substr(filter_order, step::integer, 1)) - 1))::integer as own,
+          list_sum(list_transform(range(1, step), lambda k: (1 << (instr('ABCDE', substr(filter_order, k::integer, 1)) - 1))::integer)) as earlier from s),
+    x as (select part, filter_order, step::integer as step, filter,
+          sum(case when mask & (own | coalesce(earlier, 0)::integer) = 0 then n else 0 end) as kept,
+          sum(case when mask & own > 0 and mask & coalesce(earlier, 0)::integer = 0 then n else 0 end) as removed,
+          sum(case when mask & own > 0 and mask & coalesce(earlier, 0)::integer > 0 then n else 0 end) as redundant,
+          sum(case when mask = own then n else 0 end) as unique_fails,
+          sum(case when mask & own > 0 and mask & coalesce(earlier, 0)::integer = 0 then good else 0 end) as good_lost,
+          sum(case when mask & own > 0 and mask & coalesce(earlier, 0)::integer = 0 then toxic else 0 end) as toxic_lost
+          from c, b group by part, filter_order, step, filter)
+    select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+           toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, filter))::bigint as shapley from x"""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, attribution, bpe, lm, mixing, oracles, pii, quality, repeats, simhash, warc
+from tarn.llm import ann, attribution, audit, bpe, lm, mixing, oracles, pii, quality, repeats, simhash, warc
 from tarn.llm.work import new_dir, written
 from tarn.session import table
 
@@ -65,6 +65,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op2_repeated_strings, op3_token_counts, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op2_repeated_strings, op3_token_counts, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest, op11_filter_audit)}
 #: SQL can't tokenise, fingerprint, weight, schedule, score spans or search approximately; those queries have brute-force tests.
-ORACLES = {"op2_repeated_strings": oracles.REPEATED_STRINGS, "op6_quality_rules": oracles.QUALITY_RULES, "op9_warc": oracles.WARC}
+ORACLES = {"op2_repeated_strings": oracles.REPEATED_STRINGS, "op6_quality_rules": oracles.QUALITY_RULES, "op9_warc": oracles.WARC, "op11_filter_audit": oracles.FILTER_AUDIT}
