@@ -61,3 +61,20 @@ FILTER_AUDIT = r"""with d as (select doc_id, coalesce(text, '') as t, coalesce(s
           from c, b group by part, filter_order, step, filter)
     select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
            toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, filter))::bigint as shapley from x"""
+
+PHRASES = r"""with d as (select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+    p as (select lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) as piece from d),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+    n as (select lang, sum(len(words))::bigint as n from w group by lang having sum(len(words)) > 0),
+    g as (select lang, unnest(words) as gram from w
+          union all select lang, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) from w
+          union all select lang, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) from w),
+    f as (select lang, gram, count(*) as f, string_split(gram, ' ') as parts from g group by lang, gram having count(*) >= 10),
+    c as (select lang, gram, f as a, k, array_to_string(parts[:k], ' ') as head, array_to_string(parts[k + 1:], ' ') as tail from f, range(1, 3) r(k) where k < len(parts)),
+    s as (select c.lang, c.gram, a, k, x.f as l, y.f as r, (1000000::hugeint * a * a // (x.f::hugeint * y.f))::bigint as score
+          from c join f x on x.lang = c.lang and x.gram = head join f y on y.lang = c.lang and y.gram = tail),
+    b as (select * from s qualify row_number() over (partition by lang, gram order by score, k) = 1),
+    u as (select lang, part, max(f) as longer from (select lang, f, unnest([parts[1] || ' ' || parts[2], parts[2] || ' ' || parts[3]]) as part from f where len(parts) = 3) group by lang, part),
+    o as (select b.lang, row_number() over (partition by b.lang order by score desc, a desc, encode(b.gram)) as rank, b.gram as phrase, a, l, r, n, score
+          from b join n on n.lang = b.lang left join u on u.lang = b.lang and u.part = b.gram where longer is null or 100 * longer < 50 * a)
+    select * from o where rank <= 2000"""
