@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, attribution, audit, bpe, lm, mixing, oracles, phrases, pii, quality, repeats, simhash, warc
+from tarn.llm import ann, attribution, audit, bpe, lm, mixing, oracles, phrases, pii, quality, repeats, simhash, tokenfiles, warc
 from tarn.llm.work import new_dir, written
 from tarn.session import table
 
@@ -69,10 +69,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_dir(spark, "tokens")
+    encoded = tokenfiles.encode(tokenfiles.in_order(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    tokenfiles.write(encoded, path)
+    return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
-PLANS = {f.__name__: f for f in (op1_byte_bpe, op2_repeated_strings, op3_token_counts, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest, op11_filter_audit, op13_phrases)}
+PLANS = {f.__name__: f for f in (op1_byte_bpe, op2_repeated_strings, op3_token_counts, op4_lm_scoring, op5_mixing, op6_quality_rules, op7_simhash_near_dedup, op8_pii, op9_warc, op10_nearest, op11_filter_audit, op12_token_files, op13_phrases)}
 #: SQL can't tokenise, fingerprint, weight, schedule, score spans or search approximately; those queries have brute-force tests.
 ORACLES = {"op2_repeated_strings": oracles.REPEATED_STRINGS, "op6_quality_rules": oracles.QUALITY_RULES, "op9_warc": oracles.WARC, "op11_filter_audit": oracles.FILTER_AUDIT, "op13_phrases": oracles.PHRASES}
