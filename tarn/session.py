@@ -1,6 +1,7 @@
 """Session settings that the operators rely on, and the package's way to the executors."""
 
 import atexit
+import re
 import shutil
 import tempfile
 import zipfile
@@ -43,3 +44,24 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in spark.checkpoint.dir, which cuts its lineage: for iterations and rows read by several plans.
+
+    Where the setting is absent and Spark runs in this process (tests), a temporary folder is used and removed at exit.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tarn-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    kept = df.persist()  # else the checkpoint computes it a second time
+    try:
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()
