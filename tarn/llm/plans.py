@@ -73,8 +73,7 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_dir(spark, "tokens")
-    encoded = tokenfiles.encode(tokenfiles.in_order(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), end=2)
-    tokenfiles.write(encoded, path)
+    tokenfiles.write(tokenfiles.in_order(table(spark, sf_dir, "documents")), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end=2)
     return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

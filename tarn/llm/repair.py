@@ -21,7 +21,7 @@ import numpy as np
 from tarn.llm.bytescan import spread
 
 LEAST, FALL, TOP, GAIN = 8, 4, 1 << 14, 64
-_BUCKETS = 20
+_BUCKETS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

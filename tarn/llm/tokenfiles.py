@@ -1,10 +1,12 @@
 """Token ids of documents in compressed binary files, written and read as a Spark data source.
 
-encode: texts to ids with a tokenizers file, in Arrow batches. Between two ASCII bytes of different classes
-(blank after a non-blank, letter beside digit or mark, but for a letter after an apostrophe) the tokenizer's own
-pattern always splits, whatever stands left and right. So a block of texts is cut there with NumPy, its distinct
-pieces are found (bytescan) and only those go through the tokenizer, unless a worker has met them; ids are then
-laid out by index. in_order deals documents by ranges of their key and sorts them.
+encode: texts to ids with a tokenizers file of the byte-level kind, in Arrow batches. Between two
+characters of different classes (ASCII and Latin letters: blank after a non-blank, letter beside digit or mark, but
+for a letter after an apostrophe) the
+tokenizer's own pattern always splits, whatever stands left and right. So a block of texts is cut there with NumPy,
+its distinct pieces are found (bytescan) and only those go through the library, unless a worker has met them; ids are
+then laid out by index. A piece that the pattern leaves whole goes to the library's merges directly, others through
+all its steps. in_order deals documents by ranges of their key and sorts them.
 
 Files: one a task, in the order of the tasks. A file is a row of shards of about SHARD ids, each with a Re-Pair
 grammar of its own (repair), and a footer that lists them; the commit writes one line for each file, with the
@@ -21,6 +23,7 @@ shard longer.
 
 import json
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -39,8 +42,8 @@ from tarn.llm.warc import _open, _remove
 from tarn.session import ship
 
 SHARD = 1 << 20
-#: Pieces that a worker remembers: at some 200 bytes each, 50 MB.
-CACHE = 250_000
+#: Pieces that a worker remembers, at some 200 bytes each (160 MB), and bytes of texts encoded at a time.
+CACHE, BLOCK = 800_000, 4 << 20
 LIST = "_files.json"
 MAGIC = b"TARNTOK1"
 FIELDS = "doc_id long, start long, n_tokens long, ids binary"
@@ -72,6 +75,10 @@ _SPLITS = _SPLITS.reshape(-1)
 def pieces(block: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the pieces of a block's texts, which together are its bytes."""
     kind = _CLASS[block.data[:-8]]
+    lead = np.flatnonzero((block.data[:-8] >= 0xC3) & (block.data[:-8] <= 0xC9))  # two bytes of U+00C0 to U+024F, all letters but two
+    point = (block.data[lead].astype(np.int32) & 31) << 6 | (block.data[lead + 1] & 63)
+    lead = lead[(block.data[lead + 1] >> 6 == 2) & (point != 0xD7) & (point != 0xF7)]
+    kind[lead] = kind[lead + 1] = _LETTER
     begins = np.zeros(len(kind), bool)
     begins[1:] = _SPLITS[kind[:-1] * 6 + kind[1:]]
     begins[block.at[:-1][block.at[:-1] < len(kind)]] = True
@@ -79,53 +86,80 @@ def pieces(block: Texts) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(kind)))
 
 
+#: Pieces that the pattern leaves whole: Latin letters, digits or marks, after a blank or none. Letters beyond ASCII are two bytes, C3 80 to C9 8F, but for C3 97 and C3 B7.
+_WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def _letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return [chr(b if b in prints else 256 + others.index(b)) for b in range(256)]
+
+
 class Pieces:
-    """Ids of pieces, each encoded when first met; forgotten when there are too many."""
+    """Ids of pieces, each encoded when first met. Two generations of them are kept: what the newer one lacks is looked up in the older."""
 
     def __init__(self, spec: str, size: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size = Tokenizer.from_str(spec), size
+        self.tokenizer, self.half, self.letters = Tokenizer.from_str(spec), size // 2, dict(enumerate(_letters()))
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.index, self.lengths, self.ids = {}, array("q"), array("I")
-
-    def find(self, found: list[bytes]) -> np.ndarray:
-        """The index of each piece."""
-        if len(self.index) + len(found) > self.size:
-            self.forget()
-        missing = [p for p in found if p not in self.index]
-        for p, e in zip(missing, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in missing], add_special_tokens=False), strict=True):
-            self.index[p] = len(self.lengths)
-            got = e.ids
-            self.lengths.append(len(got))
-            self.ids.extend(got)
-        return np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        kind = json.loads(spec)
+        before = kind["pre_tokenizer"] or {}
+        if before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before["add_prefix_space"] or kind["normalizer"] or any(not t["special"] for t in kind["added_tokens"]):
+            raise ValueError("not a byte-level tokenizer with the usual pattern")
+
+    def find(self, found: list[bytes]) -> list[bytes]:
+        """The ids of each piece as unsigned 32-bit numbers."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        new, old, mixed, tokenize, letters, blank = self.new, self.old, [], self.tokenizer.model.tokenize, self.letters, self.letters[32]
+        for p in found:
+            if p in new:
+                continue
+            if ids := old.get(p):
+                new[p] = ids
+            elif _WHOLE(p):
+                text = blank + p[1:].decode("latin-1") if p[0] == 32 else p.decode("latin-1")
+                new[p] = array("I", [t.id for t in tokenize(text if text.isascii() or p.isascii() else text.translate(letters))]).tobytes()
+            else:
+                mixed.append(p)
+        for p, e in zip(mixed, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in mixed], add_special_tokens=False), strict=True):
+            new[p] = array("I", e.ids).tobytes()
+        return list(map(new.__getitem__, found))
 
     def encode(self, block: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; where each text's ids end)."""
         start, length = pieces(block)
         none = np.zeros(len(start), np.int64)
         number, members = distinct(block.data, start, length, none, hashes(block.data, start, length))
-        index = self.find(strings(block.data, start[members], length[members]).to_pylist())[number]
-        lengths = np.array(self.lengths, np.int64)
-        n = lengths[index]
+        known = self.find(strings(block.data, start[members], length[members]).to_pylist())
+        ids, lengths = np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        n = lengths[number]
         sums = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=sums[1:])
         ends = sums[np.searchsorted(start, block.at[1:])] + np.arange(1, block.size + 1)
         out = np.full(int(ends[-1]), end, np.uint32)
         text = np.ones(len(out), bool)
         text[ends - 1] = False
-        out[text] = np.array(self.ids, np.uint32)[spread((np.cumsum(lengths) - lengths)[index], n)]
+        out[text] = ids[spread((np.cumsum(lengths) - lengths)[number], n)]
         return out, ends
 
 
 _WORKER: dict[str, Pieces] = {}
 
 
+def remembered(name: str, spec: str) -> Pieces:
+    """The pieces that this worker has met, in whichever task."""
+    if name not in _WORKER:
+        _WORKER[name] = Pieces(spec)
+    return _WORKER[name]
+
+
 def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit numbers, the end id last. Keeps the rows' order; no shuffle."""
     ship(docs.sparkSession)
@@ -133,10 +167,9 @@ def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WORKER.setdefault(tokenizer, None) or Pieces(spec.value)
-        _WORKER[tokenizer] = known
+        known = remembered(tokenizer, spec.value)
         for batch in batches:
-            for block in cut(batch.column(1)):
+            for block in cut(batch.column(1), BLOCK):
                 ids, ends = known.encode(block, end)
                 at = np.concatenate(([0], 4 * ends)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.size), pa.BinaryArray.from_buffers(pa.binary(), block.size, [None, pa.py_buffer(at), pa.py_buffer(ids)])], ["doc_id", "ids"])
@@ -219,10 +252,27 @@ class Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Rows (doc_id, ids), in order within a task and from task to task."""
+    """Rows (doc_id, ids), or (doc_id, text) with a tokenizer, in order within a task and from task to task."""
 
     def __init__(self, options):
         self.path, self.shard = options["path"].rstrip("/"), int(options.get("shardIds", SHARD))
+        self.tokenizer, self.end, self.spec = options.get("tokenizer"), int(options.get("end", "0")), None
+        if self.tokenizer:
+            with open(self.tokenizer, encoding="utf-8") as f:
+                self.spec = f.read()
+
+    def documents(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        for batch in iterator:
+            keys, column = batch.column(0).to_pylist(), batch.column(1)
+            if self.spec is None:
+                for key, value in zip(keys, column, strict=True):
+                    yield key, np.frombuffer(value.as_buffer(), "<u4") if value.is_valid else np.zeros(0, "<u4")
+                continue
+            known = remembered(self.tokenizer, self.spec)
+            for block in cut(column, BLOCK):
+                ids, ends = known.encode(block, self.end)
+                for i, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                    yield keys[block.first + i], ids[begin:end]
 
     def write(self, iterator):
         name, out, size, docs, ids, footer = f"part-{uuid.uuid4().hex}.tok", None, 0, 0, 0, []
@@ -242,17 +292,15 @@ class TokenWriter(DataSourceArrowWriter):
 
         try:
             have = 0
-            for batch in iterator:
-                for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    found = np.frombuffer(value.as_buffer(), "<u4") if value.is_valid else np.zeros(0, "<u4")
-                    out = out or _open(f"{self.path}/{name}", "wb")
-                    keys.append(key)
-                    tokens.append(len(found))
-                    held.append(found)
-                    have += len(found)
-                    if have >= self.shard:
-                        flush()
-                        have = 0
+            for key, found in self.documents(iterator):
+                out = out or _open(f"{self.path}/{name}", "wb")
+                keys.append(key)
+                tokens.append(len(found))
+                held.append(found)
+                have += len(found)
+                if have >= self.shard:
+                    flush()
+                    have = 0
             if keys:
                 flush()
             if out:
@@ -326,11 +374,15 @@ def listing(path: str) -> list[dict]:
         return json.loads(f.read())
 
 
-def write(encoded: DataFrame, path: str, shard_ids: int = SHARD) -> None:
-    """Rows of encode() to files below path, which must be new; a reader sees them in the order of partitions and rows."""
-    ship(encoded.sparkSession)
-    encoded.sparkSession.dataSource.register(TokenSource)
-    encoded.write.format("token_ids").mode("append").option("path", path).option("shardIds", shard_ids).save()
+def write(rows: DataFrame, path: str, shard_ids: int = SHARD, tokenizer: str | None = None, end: int = 0) -> None:
+    """Rows (doc_id, ids) of encode(), or with a tokenizer rows (doc_id, text), to files below path, which must be new.
+
+    A reader sees them in the order of partitions and rows. Texts are encoded in the writer's task, so ids don't go through Spark.
+    """
+    ship(rows.sparkSession)
+    rows.sparkSession.dataSource.register(TokenSource)
+    out = rows.write.format("token_ids").mode("append").option("path", path).option("shardIds", shard_ids).option("end", end)
+    (out.option("tokenizer", tokenizer) if tokenizer else out).save()
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:

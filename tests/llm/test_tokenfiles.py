@@ -65,6 +65,13 @@ def test_edge_texts_and_random_access(spark, tmp_path, shard):
     assert len(hot) > 1
 
 
+def test_texts_are_encoded_by_the_writer(spark, tmp_path):
+    rows = [*EDGE, *ODD]
+    path = f"file://{tmp_path}/t"
+    tokenfiles.write(tokenfiles.in_order(frame(spark, rows), partitions=3), path, 700, tokenizer=PATH, end=2)
+    check(tokenfiles.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).collect(), [(r[0], r[1]) for r in rows])
+
+
 def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     tokenfiles.write(tokenfiles.encode(tokenfiles.in_order(frame(spark, [])), PATH, 2), path)
