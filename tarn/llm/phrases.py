@@ -37,7 +37,7 @@ SCALE = 1_000_000
 BREAKS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 _OUTSIDE = BREAKS | SPACE
 MIN_BITS, MAX_BITS = 16, 28
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 _ROWS = 1 << 17
 _SALT = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
