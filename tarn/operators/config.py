@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import paths, scalars
+from tarn.operators.expressions import typed
 from tarn.operators.merge import first_wins
+from tarn.session import settled
 
 #: A package is what the first of these names in its root says; one with none is a subpackage.
 ROUTES = (("app-service.js", "app"), ("game.js", "game"))
@@ -99,3 +101,70 @@ def module_tags(refs: DataFrame, inline: DataFrame, outputs: DataFrame) -> DataF
     target = F.when(F.col("kind") == "inline", F.col("source")).otherwise(paths.relative(F.col("page"), link))
     told = known.withColumn("kind", kind).where("kind is not null")
     return told.select("pkg_id", "page", scalars.attribute_escape(F.col("module")).alias("module"), "kind", target.alias("target"))
+
+
+def _members(raw: Column) -> Column:
+    """Members of a JSON object in the order of its text: (key, raw, kind) as typed() has them; null for any other value."""
+    texts, values = F.from_json(raw, "map<string,string>"), F.from_json(raw, "map<string,variant>")
+    found = F.transform(F.arrays_zip(F.map_keys(texts).alias("k"), F.map_values(texts).alias("t"), F.map_values(values).alias("v")), lambda x: F.struct(x["k"].alias("key"), typed(x["t"], x["v"]).alias("value")))
+    return F.when(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), found)
+
+
+def _member(raw: Column, key: str, kind: str) -> Column:
+    """A member of a JSON object that has the given kind."""
+    return F.try_element_at(F.filter(_members(raw), lambda m: (m["key"] == key) & (m["value"]["kind"] == kind)), F.lit(-1))["value"]["raw"]
+
+
+def _json(text: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _as_component(window: Column) -> Column:
+    """A window with component set to true, at its place if it has one, else at the end."""
+    members = F.transform(_members(window), lambda m: F.concat(_json(m["key"]), F.lit(":"), F.when(m["key"] == "component", "true").when(m["value"]["kind"] == "s", _json(m["value"]["raw"])).otherwise(m["value"]["raw"])))
+    own = F.exists(_members(window), lambda m: m["key"] == "component")
+    return F.concat(F.lit("{"), F.array_join(F.when(own, members).otherwise(F.concat(members, F.array(F.lit('"component":true')))), ","), F.lit("}"))
+
+
+def page_configurations(configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """configs(pkg_id, text JSON) to page configurations, what they use, and what was left out.
+
+    1. (pkg_id, page, window, component): a row for each safe path under the field page and for each component that a window names
+       under usingComponents; window is its JSON ({} where there is none), with component set to true if any page uses it.
+    2. (pkg_id, page, component): uses, a component's path seen from its page, its extension .html.
+    3. (pkg_id, code, page, value): page_config_unsafe, component_path_unsafe.
+
+    Of equal paths the last counts. A configuration or a member that isn't an object is empty; components that aren't strings are ignored.
+    """
+    raw = configs.select("pkg_id", F.posexplode(_members(_member(F.col("text"), "page", "o"))).alias("ord", "m")).select("pkg_id", "ord", F.col("m.key").alias("name"), F.when(F.col("m.value.kind") == "o", F.col("m.value.raw")).otherwise("{}").alias("config"))
+    named = raw.withColumn("page", paths.fallback_path(F.col("name")))
+    last = named.where("page is not null").groupBy("pkg_id", "page").agg(F.max_by("config", "ord").alias("config"))
+    own = settled(last.select("pkg_id", "page", F.coalesce(_member(F.col("config"), "window", "o"), F.lit("{}")).alias("window")))
+    used = own.select("pkg_id", "page", F.explode(_members(_member(F.col("window"), "usingComponents", "o"))).alias("m")).where("m.value.kind = 's'")
+    target = paths.change_extension(F.replace(F.col("m.value.raw"), F.lit("\\"), F.lit("/")), ".html")
+    joined = F.when(target.startswith("/"), F.regexp_replace(target, "^/+", "")).otherwise(paths.clean(F.concat_ws("/", F.when(paths.parent(F.col("page")) != "", paths.parent(F.col("page"))), target)))
+    met = settled(used.select("pkg_id", "page", F.col("m.value.raw").alias("value"), paths.fallback_path(joined).alias("component")))
+    uses = met.where("component is not null").select("pkg_id", "page", "component").distinct()
+    components = uses.select("pkg_id", F.col("component").alias("page"), F.lit(True).alias("component")).distinct()
+    rows = own.join(components, ["pkg_id", "page"], "full").withColumn("window", F.coalesce("window", F.lit("{}"))).withColumn("component", F.coalesce("component", F.lit(False)))
+    rows = rows.select("pkg_id", "page", F.when(F.col("component"), _as_component(F.col("window"))).otherwise(F.col("window")).alias("window"), "component")
+    told = named.where("page is null").selectExpr("pkg_id", "'page_config_unsafe' as code", "cast(null as string) as page", "name as value")
+    return rows, uses, told.unionByName(met.where("component is null").selectExpr("pkg_id", "'component_path_unsafe' as code", "page", "value")).distinct()
+
+
+def component_closure(pages: DataFrame, uses: DataFrame) -> DataFrame:
+    """(pkg_id, path, depth): what the pages(pkg_id, page) need, themselves at depth 0, then components of components to a fixed point.
+
+    Breadth first: each round joins the paths found last with uses(pkg_id, page, component) and keeps those that are new, so components that
+    use each other end the walk. Rows are one for each path that is needed.
+    """
+    uses = settled(uses.select("pkg_id", "page", "component").distinct())
+    last = settled(pages.select("pkg_id", F.col("page").alias("path"), F.lit(0).alias("depth")).distinct())
+    known, depth = last, 0
+    while not last.isEmpty():
+        depth += 1
+        found = last.join(uses, (last["pkg_id"] == uses["pkg_id"]) & (last["path"] == uses["page"])).select(last["pkg_id"], F.col("component").alias("path")).distinct()
+        last = settled(found.join(known.select("pkg_id", "path"), ["pkg_id", "path"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = known.unionByName(last)
+    return known

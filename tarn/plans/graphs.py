@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.operators import styles
+from tarn.operators import config, expressions, styles
 from tarn.plans.catalog import query
 from tarn.session import table
 
@@ -66,3 +66,66 @@ def style_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, shared = _pieces(spark, sf_dir)
     return styles.rebuilt(own, shared, styles.sheet_files(own, shared))[0]
+
+
+_TREE = """k as (select o_orderkey, o_orderkey % 6 as i, o_custkey % 5 as j, 'a' || o_orderkey as a, o_custkey as c from orders),
+    x as (select *, case i when 0 then a || '+' || c when 1 then a || '.m' when 2 then '[' || a || ']' when 3 then '!' || a when 4 then '{k:' || a || '}' end as x from k)"""
+
+
+@query("r11_expressions", f"""with {_TREE} select o_orderkey as tree_id, i = 5 as unresolved,
+       case j when 0 then case i when 4 then '{{' || x || '}}' else '{{{{' || x || '}}}}' end when 1 then '{{{{' || case i when 0 then '(' || x || ')' else x end || '*2}}}}'
+       when 2 then '{{{{f(' || case when i in (2, 4) then ' ' || x || ' ' else x end || ')}}}}' when 3 then 't-' || case i when 4 then '{{' || x || '}}' else '{{{{' || x || '}}}}' end
+       else '{{{{' || x || '?''it\\''s "' || c || '"'':z}}}}' end as text from x""")
+def expression_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of two to four levels for each order: one of six forms inside one of five; one form holds a mark of what is lost."""
+    i, j, c = F.col("o_orderkey") % 6, F.col("o_custkey") % 5, F.col("o_custkey").cast("string")
+    a = F.concat(F.lit('[[7],[3,"a'), F.col("o_orderkey").cast("string"), F.lit('"]]'))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    inner = F.when(i == 0, text('[[2,"+"],', a, ",[1,", c, "]]")).when(i == 1, text("[[6],", a, ',[3,"m"]]')).when(i == 2, text("[[5],", a, "]")).when(i == 3, text('[[2,"!"],', a, "]")).when(i == 4, text('[[8],"k",', a, "]")).otherwise(text('[[2,"+"],', a, ',{"unresolved":true}]'))
+    outer = F.when(j == 0, inner).when(j == 1, text('[[2,"*"],', inner, ",[1,2]]")).when(j == 2, text('[[12],[[7],[3,"f"]],[[5],', inner, "]]")).when(j == 3, text('[11,[3,"t-"],', inner, "]")).otherwise(text('[[2,"?:"],', inner, ',[1,"it\'s \\"', c, '\\""],[3,"z"]]'))
+    return expressions.restored(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree_id"), outer.alias("ops")))
+
+
+_USES = """d as (select source || '-' || (doc_id // 333) as pkg_id, doc_id, doc_id % 7 = 3 as unsafe from documents),
+    p as (select pkg_id, 's/p' || doc_id || '.html' as page, doc_id from d where not unsafe),
+    u as (select pkg_id, page, 's/p' || (doc_id + 20) || '.html' as component from p where doc_id // 20 % 5 < 4),
+    c as (select distinct pkg_id, component as page from u)"""
+
+
+def _page_configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A package of each source's documents among 333 ids: a page for each, every seventh at an unsafe path; most use the page twenty
+    ids on as a component, and all name one outside the package."""
+    n, later = F.col("doc_id").cast("string"), (F.col("doc_id") + 20).cast("string")
+    name = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("../p"), n)).otherwise(F.concat(F.lit("/s/p"), n, F.lit(".html")))
+    known = F.when(F.floor(F.col("doc_id") / 20) % 5 < 4, F.concat(F.when(F.col("doc_id") % 2 == 0, "p").otherwise("/s/p"), later))
+    uses = F.map_filter(F.create_map(F.lit("c"), known, F.lit("x"), F.lit("../../out")), lambda _, v: v.isNotNull())
+    page = F.struct(F.struct(F.col("doc_id").alias("t"), uses.alias("usingComponents")).alias("window"))
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 333).cast("string")).alias("pkg_id"), F.struct(name.alias("name"), page.alias("page")).alias("x"))
+    listed = d.groupBy("pkg_id").agg(F.collect_list("x").alias("x"))
+    whole = F.struct(F.map_from_entries("x").alias("page"))
+    return config.page_configurations(listed.select("pkg_id", F.to_json(whole).alias("text")))
+
+
+@query("r6_page_configs", f"""with {_USES} select coalesce(p.pkg_id, c.pkg_id) as pkg_id, coalesce(p.page, c.page) as page,
+       '{{' || concat_ws(',', case when doc_id is not null then '"t":' || doc_id || ',"usingComponents":{{' || case when doc_id // 20 % 5 < 4 then '"c":"' || case when doc_id % 2 = 0 then 'p' else '/s/p' end || (doc_id + 20) || '",' else '' end || '"x":"../../out"}}' end, case when c.page is not null then '"component":true' end) || '}}' as window,
+       c.page is not null as component from p full join c on c.pkg_id = p.pkg_id and c.page = p.page""")
+def page_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_configs(spark, sf_dir)[0]
+
+
+@query("r6_config_issues", f"""with {_USES} select pkg_id, 'page_config_unsafe' as code, cast(null as varchar) as page, '../p' || doc_id as value from d where unsafe
+       union all select pkg_id, 'component_path_unsafe', page, '../../out' from p""")
+def config_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_configs(spark, sf_dir)[2]
+
+
+@query("jn10_components", f"""with recursive {_USES},
+    w as (select pkg_id, page, 0 as depth from p where doc_id % 3 = 0 union select u.pkg_id, u.component, depth + 1 from w join u on u.pkg_id = w.pkg_id and u.page = w.page)
+    select pkg_id, page as path, min(depth) as depth from w group by pkg_id, page""")
+def component_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every third page, the components of components."""
+    pages, uses, _ = _page_configs(spark, sf_dir)
+    number = F.regexp_extract("page", "([0-9]+)", 1).cast("long")
+    own = table(spark, sf_dir, "documents").where("doc_id % 7 <> 3").select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 333).cast("string")).alias("pkg_id"), F.col("doc_id").alias("number"))
+    roots = pages.withColumn("number", number).where("number % 3 = 0").join(own, ["pkg_id", "number"], "left_semi")
+    return config.component_closure(roots, uses)

@@ -20,6 +20,31 @@ def test_pages_by_package(spark):
     assert got == sorted([("p", None, 0, "pages/home"), ("p", None, 1, "pages/a"), ("p", "sub/", 0, "b"), ("p", "sub/", 1, "c")], key=str)
 
 
+def test_page_configurations(spark):
+    page = lambda **uses: {"window": {"title": 'a "b"', "usingComponents": uses}}
+    text = json.dumps({"page": {
+        "/pages/a.html": page(x="../c/x", y="/c/y.wxml", z="../../out", n=5, u="..\\\\c\\\\w"), "c/x.html": {"window": {"component": False, "usingComponents": {"y": "y", "self": "x"}, "k": [1, {"b": 2, "a": 1}]}}, "../no.html": {},
+        "pages/b.html": 7, "d.html": {"window": [1]}, "pages/a2.html": {"other": 1}, "/pages/a2.html": {"window": {"last": True}},
+    }})
+    df = spark.createDataFrame([("p", text), ("q", "[]"), ("r", None), ("s", '{"page": [1]}'), ("t", "{")], "pkg_id string, text string").withColumn("page", F.lit("clash"))
+    own, uses, told = config.page_configurations(df)
+    got = {r["page"]: (json.loads(r["window"]), r["component"]) for r in own.collect()}
+    assert set(got) == {"pages/a.html", "c/x.html", "c/y.html", "c/w.html", "pages/b.html", "d.html", "pages/a2.html"}
+    assert got["c/x.html"] == ({"component": True, "usingComponents": {"y": "y", "self": "x"}, "k": [1, {"b": 2, "a": 1}]}, True) and list(got["c/x.html"][0]) == ["component", "usingComponents", "k"]
+    assert got["c/y.html"] == ({"component": True}, True) and got["pages/b.html"] == ({}, False) and got["d.html"] == ({}, False) and got["pages/a2.html"] == ({"last": True}, False)
+    assert rows(uses) == [("p", "c/x.html", "c/x.html"), ("p", "c/x.html", "c/y.html"), ("p", "pages/a.html", "c/w.html"), ("p", "pages/a.html", "c/x.html"), ("p", "pages/a.html", "c/y.html")]
+    assert rows(told) == [("p", "component_path_unsafe", "pages/a.html", "../../out"), ("p", "page_config_unsafe", None, "../no.html")]
+    pages = spark.createDataFrame([("p", "pages/a.html"), ("p", "pages/gone.html"), ("o", "pages/a.html")], "pkg_id string, page string")
+    assert rows(config.component_closure(pages, uses)) == [("o", "pages/a.html", 0), ("p", "c/w.html", 1), ("p", "c/x.html", 1), ("p", "c/y.html", 1), ("p", "pages/a.html", 0), ("p", "pages/gone.html", 0)]
+
+
+def test_closure_ends_on_cycles(spark):
+    uses = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "a"), ("p", "c", "d"), ("p", "x", "y")], "pkg_id string, page string, component string")
+    pages = spark.createDataFrame([("p", "a")], "pkg_id string, page string")
+    assert rows(config.component_closure(pages, uses)) == [("p", "a", 0), ("p", "b", 1), ("p", "c", 2), ("p", "d", 3)]
+    assert config.component_closure(pages.limit(0), uses).collect() == []
+
+
 def test_games(spark):
     files = [("g", "game.js", "x"), ("g", "app-config.json", '{"b": 1, "subContext": 2, "a": [1, "2"]}'), ("a", "app-service.js", "x"), ("a", "game.js", "x"), ("a", "app-config.json", "{}"), ("s", "x/game.js", "x"), ("h", "game.js", ""), ("h", "app-config.json", "[")]
     df = spark.createDataFrame(files, "pkg_id string, path string, text string")
