@@ -4,6 +4,7 @@ A package holds the documents of one source among PACKAGE ids in a row, so that
 one of its files. Pages are markup.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tarn.functions import markup, scrub
-from tarn.operators import integrity, manifest, merge
+from tarn.operators import acceptance, integrity, manifest, merge
 from tarn.plans.catalog import query
-from tarn.session import table
-from tarn.sources import container, crypt
+from tarn.session import shared_dir, table
+from tarn.sources import blobs, container, crypt
 
 PACKAGE = 999  # a multiple of three: documents that share a base name stay in one package
 PKG = f"source || '-' || (doc_id // {PACKAGE})"
@@ -248,3 +249,42 @@ def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.transform("ids", lambda i: F.concat(F.lit("/d"), i.cast("string"), F.lit(".html")))
     docs = d.select("pkg_id", F.lit(0).alias("ord"), F.when(F.col("source") == "src7", "app-config.json").otherwise("app.json").alias("path"), F.to_json(F.struct(pages.alias("pages"))).alias("text"))
     return manifest.pages(docs).select("pkg_id", "ord", "route", F.col("source").alias("src"), "confidence")
+
+
+_SHARED = "select {pkg} as pkg_id, cast(row_number() over (partition by {pkg} order by {name}) - 1 as integer) as ord, {prefix}{name} as path, octet_length(encode(coalesce(text, ''))) as size, sha256(coalesce(text, '')) as sha256 from documents"
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("pkg_id", "path", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+
+@query("src2_package_files", f"select pkg_id, ord, path, cast(size as bigint) as size, sha256 from ({_SHARED.format(pkg=PKG, name=NAME, prefix='')}) where starts_with(path, 'd1')")
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages written as files and read by ranges; the filter on the path is the source's, so other contents aren't read."""
+    path = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    blobs.write_packages(container.encode_table(_contents(spark, sf_dir)), path)
+    entries = blobs.read_packages(spark, path).where(F.col("path").startswith("d1"))
+    return entries.select("pkg_id", "ord", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("snk3_archives", f"select pkg_id, ord, path, cast(size as bigint) as size, sha256 from ({_SHARED.format(pkg=PKG, name=NAME, prefix=chr(39) + 'src/' + chr(39) + ' || ')})")
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ZIP for each package, streamed to files, and its entries read from directories and ranges."""
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    blobs.write_archives(_contents(spark, sf_dir), path)
+    return blobs.read_archives(spark, path).select("pkg_id", "ord", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("v10_acceptance", """select o_orderkey as task_id, 'recovery-report' as name, array_to_string(list_filter([case when o_orderkey % 5 = 0 then 'host path' end, case when o_orderkey % 7 = 0 then 'status' end,
+       case when o_orderkey % 3 = 0 then 'verifier' end, case when o_orderkey % 11 = 0 then 'manifest' end, case when o_custkey % 4 <> 2 then 'files' end, case when o_custkey % 4 <> 3 then 'sources' end,
+       case when o_orderkey % 7 <> 1 and o_custkey % 2 = 0 then 'archive' end], lambda x: x is not null), ',') as broken from orders""")
+def acceptance_of_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each order, each broken in other ways."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when(k % 7 == 0, "odd").when(k % 7 == 1, "failed").otherwise("completed")
+    score = F.struct((k % 3 != 0).alias("verifierPassed"), F.when(k % 11 == 0, 99).otherwise(100).alias("manifest"))
+    artifacts = F.struct((c % 4).alias("fileCount"), F.array(F.lit("a"), F.lit("b")).alias("files"), F.create_map(F.lit("native"), F.lit(2), F.lit("fallback"), F.lit(1)).alias("sourceBreakdown"))
+    note = F.when(k % 5 == 0, F.concat(F.lit("in /home/"), F.col("o_orderstatus"), F.lit("/x"))).otherwise("https://host/home/x/y")
+    whole = F.struct(status.alias("status"), score.alias("score"), artifacts.alias("artifacts"), F.struct((c % 2 == 1).alias("downloadReady"), F.lit(5).alias("archiveSize")).alias("packaging"), note.alias("note"))
+    told = acceptance.broken(table(spark, sf_dir, "orders").select(k.alias("task_id"), F.lit(acceptance.MAIN).alias("name"), F.to_json(whole).alias("text")))
+    return told.select("task_id", "name", F.array_join("broken", ",").alias("broken"))

@@ -13,6 +13,7 @@ CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -46,20 +47,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir, which cuts its lineage: for iterations and rows read by several plans.
-
-    Where the setting is absent and Spark runs in this process (tests), a temporary folder is used and removed at exit.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is absent and Spark runs in this process (tests), a temporary folder, removed at exit."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tarn-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="tarn-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, which cuts its lineage: for iterations and rows read by several plans."""
+    shared_dir(df.sparkSession)
     kept = df.persist()  # else the checkpoint computes it a second time
     try:
         return kept.checkpoint()

@@ -27,11 +27,16 @@ def entry_list(entries: DataFrame, prefix: str = "src") -> DataFrame:
     return seen.withColumn("e", error).groupBy("pkg_id").agg(F.sort_array(F.collect_list("path")).alias("files"), F.max("e").alias("error"))
 
 
+def entries(files: DataFrame, prefix: str = "src") -> DataFrame:
+    """(pkg_id, path below the prefix, content) of packages whose entries are all fit for an archive."""
+    good = entry_list(files.withColumn("path", F.concat(F.lit(f"{prefix}/"), "path")), prefix).where("error is null").select("pkg_id")
+    return files.join(good, "pkg_id", "left_semi").select("pkg_id", F.concat(F.lit(f"{prefix}/"), "path").alias("path"), "content")
+
+
 def pack(files: DataFrame, prefix: str = "src") -> DataFrame:
     """files(pkg_id, path, content) to (pkg_id, archive, entries). Refused packages and empty ones give no row."""
     ship(files.sparkSession)
-    good = entry_list(files.withColumn("path", F.concat(F.lit(f"{prefix}/"), "path")), prefix).where("error is null").select("pkg_id")
-    rows = files.join(good, "pkg_id", "left_semi").select("pkg_id", F.concat(F.lit(f"{prefix}/"), "path").alias("path"), "content")
+    rows = entries(files, prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, out, archive, n = None, None, None, 0

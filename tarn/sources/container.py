@@ -79,14 +79,18 @@ def read_index(data: bytes, strict: bool = False) -> tuple[list[tuple[str, int,
     differ, and the index ends where its records end.
     """
     index_length, body_length = struct.unpack_from(">II", data, 5)
-    body = HEADER + index_length
-    index = memoryview(data)[HEADER:body]
+    return parse_index(memoryview(data)[HEADER : HEADER + index_length], body_length, len(data), strict)
+
+
+def parse_index(index: memoryview | bytes, body_length: int, total: int, strict: bool = False) -> tuple[list[tuple[str, int, int]], str | None]:
+    """read_index() from the index section alone, the declared length of the body and the length of the whole file."""
+    body = HEADER + len(index)
     (count,) = struct.unpack_from(">I", index)
     if count > MAX_FILES:
         return [], "too many files"
     if count * 12 > len(index) - 4:
         return [], "bad file count"
-    if strict and body + body_length != len(data):
+    if strict and body + body_length != total:
         return [], "declared size differs"
     out, at, names = [], 4, set()
     for _ in range(count):
@@ -100,7 +104,7 @@ def read_index(data: bytes, strict: bool = False) -> tuple[list[tuple[str, int,
         raw = bytes(index[at + 4 : at + 4 + size])
         offset, length = struct.unpack_from(">II", index, at + 4 + size)
         at += 12 + size
-        if offset + length > len(data):
+        if offset + length > total:
             return [], "file out of bounds"
         if strict:
             try:

@@ -41,6 +41,8 @@ _SAID = ("status", "percent", "message")
 
 
 def enable(spark: SparkSession) -> None:
+    """The state store that keyed state needs. Asking for the streams starts the store's coordinator, which a table's run needs, too."""
+    assert spark.streams.active is not None
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
