@@ -37,7 +37,7 @@ SCALE = 1_000_000
 BREAKS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 _OUTSIDE = BREAKS | SPACE
 MIN_BITS, MAX_BITS = 16, 28
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _ROWS = 1 << 17
 _SALT = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +161,7 @@ def _parts(k: int) -> Column:
 
 
 def collocations(tables: list[DataFrame], overlap: int = OVERLAP) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of phrases that aren't mostly part of a longer one, from level tables."""
+    """(lang, phrase, a, l, r, score) of phrases that aren't mostly part of a longer one, from level tables."""
     count = lambda name, c: grams.select("lang", F.col("gram").alias(name), F.col("n").alias(c))
     grams = tables[0].where("gram <> ''").select("lang", "gram", "n")
     cuts, inside = [], []
@@ -177,8 +177,7 @@ def collocations(tables: list[DataFrame], overlap: int = OVERLAP) -> DataFrame:
     if inside:
         longer = union(inside).groupBy("lang", F.col("gram").alias("phrase")).agg(F.max("longer").alias("longer"))
         best = best.join(longer, ["lang", "phrase"], "left").where(F.expr(f"longer is null or 100 * longer < {overlap} * a"))
-    all_words = tables[0].where("gram = ''").select("lang", "n")
-    return best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").join(all_words, "lang")
+    return best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
@@ -187,12 +186,13 @@ def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
     salted = found.withColumn("part", F.pmod(F.hash("phrase"), F.lit(_SALT)))
     few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
     out = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "score")
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, overlap: int = OVERLAP, top: int = TOP) -> DataFrame:
-    """ranked() collocations of the texts; the level tables are removed once they are scored."""
+    """ranked() collocations of the texts, with n, the words of their language; the level tables are removed once they are scored."""
     tables = levels(docs, text, lang, least, longest)
-    out = written(ranked(collocations(tables, overlap), top), "phrases")
+    all_words = tables[0].where("gram = ''").select("lang", "n")
+    out = written(ranked(collocations(tables, overlap), top).join(all_words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
     discard(*tables)
     return out
