@@ -1,6 +1,6 @@
 """Diagnostics: deduplication and grouping into classes that a reader can act on."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.merge import first_wins
@@ -52,8 +52,18 @@ def grouped(rows: DataFrame, *keys: str, seq: str = "seq") -> DataFrame:
     return shown.groupBy(*keys, "class").agg(F.count("*").alias("n"), tone.alias("tone"), F.min(seq).alias("first_seq"))
 
 
+def _order() -> list[Column]:
+    return [F.when(F.col("tone") == "danger", 0).otherwise(1), F.desc("n"), F.asc("first_seq")]
+
+
 def in_order(groups: DataFrame) -> DataFrame:
-    return groups.orderBy(F.when(F.col("tone") == "danger", 0).otherwise(1), F.desc("n"), "first_seq")
+    return groups.orderBy(*_order())
+
+
+def placed(groups: DataFrame, *keys: str) -> DataFrame:
+    """grouped() rows with their place in that order, from 1: a row for each class, so one window without keys is small."""
+    window = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    return groups.withColumn("place", F.row_number().over(window.orderBy(*_order())))
 
 
 def short_list(rows: DataFrame, n: int = 10, width: int = 120, seq: str = "seq") -> DataFrame:

@@ -103,3 +103,9 @@ def common_folder(files: DataFrame, key: str, path: str) -> DataFrame:
     n = F.least(F.size(a), F.size(b)) - 1
     differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i >= n) | (F.get(a, i) != F.get(b, i)))
     return ends.select(key, F.array_join(F.slice(a, 1, F.element_at(differ, 1)), "/").alias("folder"))
+
+
+def distinct_list(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """(keys, values): a key's values, each once, in order of first appearance; only first appearances are gathered."""
+    firsts = rows.groupBy(*keys, value).agg(F.min(order).alias("__first"))
+    return firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", value))), lambda x: x[value]).alias("values"))

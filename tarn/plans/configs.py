@@ -16,11 +16,11 @@ PKG = "source || '-' || (doc_id // 333)"
 
 
 def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package of each source's documents among 333 ids: even ones are main pages, those divisible by three pages of a
+    """A package of each source's documents among 333 ids: even ones and those not divisible by three are main pages, those divisible by three pages of a
     subpackage, those divisible by nine unsafe there; the last document is the entry page."""
     d = table(spark, sf_dir, "documents").withColumn("pkg_id", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 333).cast("string")))
     name = F.concat(F.lit("s/p"), F.col("doc_id").cast("string"))
-    main = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/"), name, F.lit(".html")))
+    main = F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 != 0), F.concat(F.lit("/"), name, F.lit(".html")))
     sub = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("../"), name)).when(F.col("doc_id") % 6 == 0, name).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".js")))
     listed = lambda page: F.sort_array(F.collect_list(F.when(page.isNotNull(), F.struct(F.col("doc_id"), page.alias("page")))))["page"]
     whole = F.struct(F.concat(F.lit("s/p"), F.max("doc_id").cast("string")).alias("entryPagePath"), listed(main).alias("pages"), F.array(F.struct(F.lit("s").alias("root"), listed(sub).alias("pages"))).alias("subPackages"))
@@ -28,7 +28,7 @@ def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r6_pages", f"""with d as (select {PKG} as pkg_id, doc_id, max(doc_id) over (partition by {PKG}) as last from documents),
-       m as (select pkg_id, doc_id, case when doc_id = last then -1 else doc_id end as place from d where (doc_id % 2 = 0 or doc_id = last) and not (doc_id % 3 = 0 and doc_id % 9 <> 0))
+       m as (select pkg_id, doc_id, case when doc_id = last then -1 else doc_id end as place from d where (doc_id % 2 = 0 or doc_id % 3 <> 0 or doc_id = last) and not (doc_id % 3 = 0 and doc_id % 9 <> 0))
        select pkg_id, cast(null as varchar) as root, cast(row_number() over (partition by pkg_id order by place) - 1 as integer) as ord, 's/p' || doc_id as page from m
        union all select pkg_id, 's/', cast(row_number() over (partition by pkg_id order by doc_id) - 1 as integer), 'p' || doc_id from d where doc_id % 3 = 0 and doc_id % 9 <> 0""")
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import labels, scalars
-from tarn.operators import config, diagnostics, merge, tasks
+from tarn.operators import config, diagnostics, manifest, merge, tasks
 from tarn.plans.catalog import query
 from tarn.session import table
+from tarn.sources import container
 
 
 @query("jn1_left_assets", "select d.doc_id, coalesce(l.quality, -1) as quality, coalesce(l.toxic, 0) as toxic, l.doc_id is not null as labelled from documents d left join labels l on d.doc_id = l.doc_id")
@@ -91,15 +92,54 @@ def digest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.icon_matches(icons, files).select(F.col("item").alias("doc_id"), "icon_path")
 
 
-@query("jn12_stage_times", """select e.user_id, e.event_type, e.event_id as at_ms, coalesce(e.event_id - (select max(s.event_id) from events s where s.user_id = e.user_id and s.event_type = e.event_type and s.event_id % 3 = 0 and s.event_id <= e.event_id), 0) as duration_ms
-       from events e where e.event_id % 3 = 1""")
+@query("jn12_stage_times", """select e.user_id, e.event_type, e.event_id as at_ms, coalesce(e.event_id - (select max(s.event_id) from events s where s.user_id = e.user_id and s.event_type = e.event_type and s.event_id % 2 = 0 and s.event_id <= e.event_id), 0) as duration_ms
+       from events e where e.event_id % 2 = 1""")
 def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as starts and finishes of a user's stages: a finish is timed from the stage's last start."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("at_ms"))
-    done = tasks.stage_durations(e.where("at_ms % 3 = 0"), e.where("at_ms % 3 = 1"))
+    done = tasks.stage_durations(e.where("at_ms % 2 = 0"), e.where("at_ms % 2 = 1"))
     return done.select(F.col("task_id").alias("user_id"), F.col("stage").alias("event_type"), "at_ms", "duration_ms")
 
 
+@query("jn2_components", """with d as (select source as pkg_id, doc_id from documents)
+       select distinct a.pkg_id, 's/c' || b.doc_id as path from d a join d b on b.pkg_id = a.pkg_id and b.doc_id = a.doc_id + 20 where b.doc_id % 2 = 0 or b.doc_id % 3 = 0""")
+def component_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document refers to the one twenty ids on, which is a file of a kind that makes a component, or not."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("pkg_id"), "doc_id")
+    end = F.when(F.col("doc_id") % 2 == 0, ".wxml").when(F.col("doc_id") % 3 == 0, ".js").otherwise(".json")
+    files = d.select("pkg_id", F.concat(F.lit("s/c"), F.col("doc_id").cast("string"), end).alias("path"))
+    refs = d.select("pkg_id", F.concat(F.lit("s/p"), F.col("doc_id").cast("string")).alias("page"), F.concat(F.lit("./c"), (F.col("doc_id") + 20).cast("string")).alias("ref"))
+    return manifest.components(files, refs)
+
+
+@query("ag2_public_sources", """with f as (select lang, ['fallback', 'generated', 'inferred', 'manifest', 'native', 'runtime', '', null, 'odd'][doc_id % 9 + 1] as source from documents),
+       b as (select lang, coalesce(nullif(source, ''), 'native') as source, count(*) as n from f group by 1, 2)
+       select lang, case when source = 'odd' then 'other' else source end as source, cast(sum(n) as bigint) as n from b group by 1, 2""")
+def public_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of nine origins, one of them none and one unknown, counted as a report shows them."""
+    names = F.array(*(F.lit(x) for x in ("fallback", "generated", "inferred", "manifest", "native", "runtime", "", None, "odd")))
+    files = table(spark, sf_dir, "documents").select("lang", F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")).alias("source"))
+    return merge.source_breakdown(files, "lang").groupBy("lang", scalars.public_source(F.col("source")).alias("source")).agg(F.sum("n").alias("n"))
+
+
+_ENTRIES = """c as (select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as ord from conversations)"""
+
+
+@query("jn13_entries", f"""with {_ENTRIES}, f as (select *, row_number() over w as nth, first_value(text) over w as first_text from c window w as (partition by conv_id, role order by ord))
+       select cast(conv_id as varchar) as pkg_id, cast(ord as integer) as ord, role as path, sha256(text) as sha256, case when nth > 1 then 'skip' else 'write' end as action, case when nth > 1 and text <> first_text then 'divergent duplicate' end as error from f""")
+def duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a package, its turns the entries, a role their path: later ones of a role repeat the first or diverge from it."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.octet_length("text").cast("long").alias("size"))
+    ends = turns.withColumn("ord", F.row_number().over(before) - 1).withColumn("end", F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    entries = ends.select(F.col("conv_id").cast("string").alias("pkg_id"), F.col("ord").cast("int").alias("ord"), F.col("role").alias("name"), (F.col("end") - F.col("size") + container.HEADER).alias("offset"), "size", F.lit(None).cast("string").alias("error"))
+    head = F.concat(F.unhex(F.lit("be" + "00" * 12 + "ed")))
+    bodies = ends.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
+    packages = bodies.select(F.col("conv_id").cast("string").alias("pkg_id"), F.concat(head, F.array_join("x.text", "").cast("binary")).alias("content"))
+    done = container.extract(packages, entries)
+    return done.select("pkg_id", "ord", "path", F.sha2("content", 256).alias("sha256"), "action", "error")
+
+
 @query("jn13_dups", """select conv_id, role, count(*) as entries, count(distinct sha256(text)) as contents, count(distinct sha256(text)) > 1 as divergent from conversations group by conv_id, role having count(*) > 1""")
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with several entries: identical or divergent."""
@@ -191,9 +231,7 @@ def diag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("so2_group_order", f"""with g as (select {CLASS} as class, count(*) as n, bool_or(event_type = 'error') as danger, min(event_id) as f from events where event_type <> 'view' group by 1)
        select cast(row_number() over (order by danger desc, n desc, f) as integer) as place, class from g""")
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = diagnostics.grouped(_diagnostics(spark, sf_dir))
-    place = F.row_number().over(Window.orderBy(F.when(F.col("tone") == "danger", 0).otherwise(1), F.desc("n"), "first_seq"))  # a row for each class
-    return g.select(place.alias("place"), "class")
+    return diagnostics.placed(diagnostics.grouped(_diagnostics(spark, sf_dir))).select("place", "class")
 
 
 @query("st2_diag_dedup", f"""select seq, code, file from (select event_id as seq, {CODE} as code, cast(user_id % 7 as varchar) as file, row_number() over (partition by {CODE}, {SEVERITY}, user_id % 7, event_type order by event_id) as n from events) where n = 1""")
@@ -225,8 +263,7 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("st6_distinct_list", """select conv_id, string_agg(role, ',' order by first_turn) as roles from (select conv_id, role, min(turn) as first_turn from conversations group by conv_id, role) group by conv_id""")
 def distinct_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of a conversation, each once, in order of appearance."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
-    return c.select("conv_id", F.array_join(F.array_distinct(F.col("x.role")), ",").alias("roles"))
+    return merge.distinct_list(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").select("conv_id", F.array_join("values", ",").alias("roles"))
 
 
 @query("prj17_retention", """select event_type, count(*) as n from events where ts <= (select max(ts) - interval 24 hour from events) and user_id not in (select c_custkey from customer where c_acctbal > 5000) group by 1""")

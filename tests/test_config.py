@@ -94,6 +94,8 @@ def test_labels_and_metrics(spark):
 def test_malformed_and_layers(spark):
     files = spark.createDataFrame([("a", "app.json", "{"), ("b", "app.json", "[]"), ("c", "app.json", "{}"), ("d", "x.json", "{"), ("c", "p.json", '{"component": true}'), ("c", "app-service.js", "__wxAppCode__['p.json'] = {\"component\": false}; __wxAppCode__['q.json'] = {}"), ("d", "app-service.js", "__wxAppCode__['p.json'] = {\"component\": true}; __wxAppCode__['p.json'] = {}")], "pkg_id string, path string, text string")
     assert rows(manifest.malformed(files).select("pkg_id")) == [("a",), ("b",)]
+    assert not {r["pkg_id"] for r in manifest.pages(files.unionByName(files.where("pkg_id = 'a'").selectExpr("pkg_id", "'x.js' as path", "text"))).collect()} & {"a", "b"}
+    assert manifest.fields(files.unionByName(files.where("pkg_id = 'a'").selectExpr("pkg_id", "'app-config.json' as path", "'{\"pages\": [\"p\"]}' as text"))).count() == 0
     got = {(r["pkg_id"], r["route"]) for r in manifest.pages(files).where("source = 'page-json-inferred'").collect()}
     assert got == {("c", "q"), ("d", "p")}
 
