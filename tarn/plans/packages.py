@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tarn.functions import markup, scrub
-from tarn.operators import acceptance, integrity, manifest, merge
+from tarn.operators import acceptance, integrity, manifest, merge, trees
 from tarn.plans.catalog import query
 from tarn.session import shared_dir, table
 from tarn.sources import blobs, container, crypt
@@ -191,6 +191,19 @@ def scrub_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.with_text_function(rows, "doc", "public", StringType(), pa.string(), scrub.json_text).select("page_id", "public")
 
 
+@query("sc13_trees", """select page_id as doc_id, '{"a":[{"files":["home/a' || page_id || '.js","c.js"],"n":' || page_id || '}],"b":{"c":{"d":["at src/a' || page_id || '.js from ' || url || '",[' || page_id || ',null]]},"metrics":{"pageCount":' || page_id || case when page_id % 2 = 0 then ',"used":true' else '' end || '}},"e":"' || regexp_extract(url, '([^/]*)/*$', 1) || '"}' as text from pages""")
+def published_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents nested at several levels, cut into rows, changed by column rules and put together again."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    files = F.struct(F.array(F.concat(F.lit("home/a"), n, F.lit(".js")), F.lit("/home/b/c.js")).alias("files"), k.alias("n"))
+    said = F.concat(F.lit("at /srv/tasks/"), n, F.lit("/result/src/a"), n, F.lit(".js from "), F.col("url"))
+    metrics = F.struct(k.alias("pageCount"), F.lit("/tmp/x").alias("zipPath"), F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit('"no"')).alias("used"))
+    inner = F.concat(F.lit('{"c":{"d":['), trees.json_string(said), F.lit(",["), n, F.lit(',null]]},"metrics":'), F.regexp_replace(F.to_json(metrics), r'"used":"(.*)"\}$', '"used":$1}'), F.lit("}"))
+    inner = F.replace(inner, F.lit('\\"no\\"'), F.lit('"no"'))
+    whole = F.concat(F.lit('{"e":'), trees.json_string(F.concat(F.lit("/opt/"), "url")), F.lit(',"metrics":{"odd":1},"b":'), inner, F.lit(',"a":['), F.to_json(files), F.lit("]}"))
+    return trees.published(table(spark, sf_dir, "pages").select(k.alias("doc_id"), whole.alias("text")))
+
+
 @query("ag11_common_dir", f"""with p as (select regexp_extract(url, '://([^/]*)', 1) as host, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') as path from pages), g as (select host, min(path) as a, max(path) as b from p group by host)
        select host, case when a = b then regexp_replace(a, '/[^/]*$', '') when split_part(a, '/', 2) = split_part(b, '/', 2) then '/' || split_part(a, '/', 2) else '' end as folder from g""")
 def common_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
