@@ -4,7 +4,8 @@ A text is lower-cased (A-Z), cut into pieces at punctuation and line ends, and p
 k-word phrases within pieces, by language, in one pass over the texts:
 
 1. A task numbers the words of a block of bytes exactly (bytescan), counts phrases as tuples of such numbers and
-   hands on one row for each phrase of the block; Spark sums them, combined before the shuffle.
+   hands on one row for each phrase of the block; Spark deals these by phrase and sums them. Few phrases recur from block to block, so
+   combining them once more before the shuffle would cost a table of nearly all of a task's phrases.
 2. Phrases of `least` occurrences or more are the level's table. Their hashes are marked in a bitmap, which is
    broadcast: 16 bits a phrase, and never over MAX_BITS (32 MB), whatever the size of the table. A task of the
    next level hands on a phrase only if both its overlapping parts, all but its last and all but its first word,
@@ -37,11 +38,11 @@ SCALE = 1_000_000
 BREAKS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 _OUTSIDE = BREAKS | SPACE
 MIN_BITS, MAX_BITS = 16, 28
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 _ROWS = 1 << 17
 _SALT = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ROW = "lang string, gram string, h long, n long"
+_ROW = "lang string, gram string, n long"
 
 
 def _classes(keys: np.ndarray, inverse: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -64,7 +65,7 @@ def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _rows(data: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, k: int, lang: pa.Array, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(data: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, k: int, lang: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each phrase of k words that begins with word at[i]: its words joined by one space."""
     data = np.append(data, np.uint8(32))
     for i in range(0, len(at), _ROWS):
@@ -75,13 +76,12 @@ def _rows(data: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarra
         ends = np.zeros(len(some) + 1, np.int32)
         np.cumsum(m.sum(axis=1), out=ends[1:])
         gram = pa.StringArray.from_buffers(len(some), pa.py_buffer(ends), pa.py_buffer(data[spread(s.reshape(-1), m.reshape(-1))]))
-        yield pa.RecordBatch.from_arrays([lang.slice(i, _ROWS), gram, pa.array(h[i : i + _ROWS].view(np.int64)), pa.array(n[i : i + _ROWS])], ["lang", "gram", "h", "n"])
+        yield pa.RecordBatch.from_arrays([lang.slice(i, _ROWS), gram, pa.array(n[i : i + _ROWS])], ["lang", "gram", "n"])
 
 
 def _count(langs: pa.Array, texts: pa.Array, k: int, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Phrases of k words in each block of the texts, with both parts marked in `known`; for k = 1 also the empty phrase, once for each word."""
-    names = langs.dictionary_encode()
-    codes, salt = names.indices.to_numpy(zero_copy_only=False), np.array([xxhash.xxh3_64_intdigest(x) for x in names.dictionary.to_pylist()], np.uint64)
+    names, codes, salt = _languages(langs)
     for block in cut(texts, BLOCK):
         block = Texts(block.first, block.size, LOWER[block.data], block.at)
         found = words(block, _OUTSIDE)
@@ -92,9 +92,9 @@ def _count(langs: pa.Array, texts: pa.Array, k: int, known: np.ndarray | None) -
         ids, members = distinct(block.data, found.start, found.length, code, h)
         take = lambda at: names.dictionary.take(pa.array(code[at]))  # noqa: E731, B023
         if k == 1:
-            yield from _rows(block.data, found.start, found.length, members, 1, take(members), h[members], np.bincount(ids))
+            yield from _rows(block.data, found.start, found.length, members, 1, take(members), np.bincount(ids))
             total = np.bincount(code, minlength=len(salt))
-            yield pa.RecordBatch.from_arrays([names.dictionary, pa.array([""] * len(salt), pa.string()), pa.array(np.zeros(len(salt), np.int64)), pa.array(total)], ["lang", "gram", "h", "n"])
+            yield pa.RecordBatch.from_arrays([names.dictionary, pa.array([""] * len(salt), pa.string()), pa.array(total)], ["lang", "gram", "n"])
             continue
         piece = np.cumsum(BREAKS[block.data], dtype=np.int32)[found.start]
         follows = (found.text[1:] == found.text[:-1]) & (piece[1:] == piece[:-1])
@@ -109,7 +109,32 @@ def _count(langs: pa.Array, texts: pa.Array, k: int, known: np.ndarray | None) -
         number = ids[at]
         for j in range(1, k):
             first, n, number = _classes((number << 32) | ids[at + j], j < k - 1)
-        yield from _rows(block.data, found.start, found.length, at[first], k, take(at[first]), _longer(gram, h, k)[at[first]], n)
+        yield from _rows(block.data, found.start, found.length, at[first], k, take(at[first]), n)
+
+
+def _languages(langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(names, code of each row, hash of each name)."""
+    names = langs.dictionary_encode()
+    return names, names.indices.to_numpy(zero_copy_only=False), np.array([xxhash.xxh3_64_intdigest(x) for x in names.dictionary.to_pylist()], np.uint64)
+
+
+def with_hashes(table: DataFrame, k: int) -> DataFrame:
+    """(lang, gram, n) of phrases of k words with h, their hash in texts; that of the empty phrase is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, codes, salt = _languages(batch.column(0).cast(pa.string()))
+            out = np.zeros(len(batch), np.uint64)
+            for block in cut(batch.column(1), BLOCK):
+                found = words(block, SPACE)
+                h = mixed(hashes(block.data, found.start, found.length) ^ salt[codes[block.first + found.text]]).reshape(-1, k)
+                gram = h[:, 0]
+                for j in range(1, k):
+                    gram = mixed(gram * _MIX + h[:, j])
+                out[block.first + found.text[::k]] = gram
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], ["lang", "gram", "n", "h"])
+
+    return table.select("lang", "gram", "n").mapInArrow(run, _ROW + ", h long")
 
 
 def _longer(gram: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
@@ -129,7 +154,7 @@ def bitmap(table: DataFrame, h: str = "h") -> np.ndarray:
 
 
 def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
-    """Tables (lang, gram, h, n) of frequent phrases of 1 .. longest words. The first also has each language's words, as the empty phrase."""
+    """Tables (lang, gram, n, h) of frequent phrases of 1 .. longest words. The first also has each language's words, as the empty phrase."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UND)).alias("lang"), F.col(text).cast("string").alias("text"))
@@ -141,8 +166,9 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
             for batch in batches:
                 yield from _count(batch.column(0).cast(pa.string()), batch.column(1), k, known.value if known else None)
 
-        counted = rows.mapInArrow(run, _ROW).groupBy("lang", "gram").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
-        tables.append(written(counted.where((F.col("n") >= least) | (F.col("gram") == "")), f"grams{k}"))
+        dealt = rows.mapInArrow(run, _ROW).repartition("lang", "gram")  # combined already, by blocks: a phrase has a row for each
+        counted = dealt.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        tables.append(written(with_hashes(counted.where((F.col("n") >= least) | (F.col("gram") == "")), k), f"grams{k}"))
         if known:
             known.destroy()
     return tables
