@@ -1,8 +1,8 @@
 """Decryption of package containers: AES-256-CBC over the first 1024 bytes, one XOR byte over the rest.
 
-The key comes from the key id by PBKDF2; it is derived inside the task and never put in a table. There is no
-authentication: a wrong id gives bytes without the container's markers, not an error. Padding isn't checked.
-Spark's AES functions insist on padding, so blocks are deciphered here with tables made from the field's rules.
+The key comes from the key id by PBKDF2, once for an id and task; it is derived in the plan that uses it and never put in a table. There is no
+authentication: a wrong id gives bytes without the container's markers, not an error, and padding isn't checked. Spark's AES functions
+check it, so blocks are deciphered with one more behind them, which Spark enciphers itself: a whole block of padding, chained to the last one.
 """
 
 import hashlib
@@ -12,7 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tarn.session import ship
 from tarn.sources.container import FIRST, LAST, MARKER
@@ -21,85 +22,52 @@ from tarn.sources.container import FIRST, LAST, MARKER
 SALT, VECTOR, ROUNDS, KEY_BYTES = b"saltiest", b"the iv: 16 bytes", 1000, 32
 ENCIPHERED, KEPT = 1024, 1023
 DEFAULT_XOR = 0x66
+_BLOCK = 16
 
 
-def _times(a: int, b: int) -> int:
-    """Product in GF(2^8) with the AES polynomial."""
-    out = 0
-    while b:
-        out ^= a if b & 1 else 0
-        a = (a << 1) ^ (0x11B if a & 0x80 else 0)
-        b >>= 1
-    return out
+def deciphered(blocks: Column, key: Column, vector: Column) -> Column:
+    """AES-CBC of whole blocks without regard to padding."""
+    modes = (F.lit("CBC"), F.lit("PKCS"))
+    padding = F.substring(F.aes_encrypt(F.lit(b""), key, *modes, F.substring(blocks, -_BLOCK, _BLOCK)), _BLOCK + 1, _BLOCK)
+    return F.aes_decrypt(F.concat(vector, blocks, padding), key, *modes)
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """S-box, its inverse, and products of all bytes with 9, 11, 13 and 14."""
-    inverse = [0] + [next(y for y in range(1, 256) if _times(x, y) == 1) for x in range(1, 256)]
-    turn = lambda x, k: (x << k | x >> (8 - k)) & 255
-    box = np.array([x ^ turn(x, 1) ^ turn(x, 2) ^ turn(x, 3) ^ turn(x, 4) ^ 0x63 for x in inverse], np.uint8)
-    back = np.zeros(256, np.uint8)
-    back[box] = np.arange(256)
-    return box, back, np.array([[_times(x, k) for x in range(256)] for k in (14, 11, 13, 9)], np.uint8)
+@lru_cache(maxsize=1024)
+def _key(key_id: str) -> bytes:
+    return hashlib.pbkdf2_hmac("sha1", key_id.encode(), SALT, ROUNDS, KEY_BYTES)
 
 
-def _round_keys(key: bytes) -> np.ndarray:
-    box, _, _ = _tables()
-    words = [np.frombuffer(key[i : i + 4], np.uint8) for i in range(0, 32, 4)]
-    power = 1
-    for i in range(8, 60):
-        w = words[-1]
-        if i % 8 == 0:
-            w = box[np.roll(w, -1)] ^ np.array([power, 0, 0, 0], np.uint8)
-            power = _times(power, 2)
-        elif i % 8 == 4:
-            w = box[w]
-        words.append(words[-8] ^ w)
-    return np.concatenate(words).reshape(15, 16)
-
-
-def decipher(key: bytes, vector: bytes, data: bytes) -> bytes:
-    """AES-256-CBC without padding, all blocks at once."""
-    _, back, times = _tables()
-    keys = _round_keys(key)
-    blocks = np.frombuffer(data, np.uint8).reshape(-1, 16)
-    shift = np.array([(r + 4 * ((c - r) % 4)) for c in range(4) for r in range(4)])
-    state = blocks ^ keys[14]
-    for n in range(13, -1, -1):
-        state = back[state[:, shift]] ^ keys[n]
-        if n:
-            c = state.reshape(-1, 4, 4)
-            state = np.stack([times[0][c[:, :, r]] ^ times[1][c[:, :, (r + 1) % 4]] ^ times[2][c[:, :, (r + 2) % 4]] ^ times[3][c[:, :, (r + 3) % 4]] for r in range(4)], axis=2).reshape(-1, 16)
-    before = np.concatenate((np.frombuffer(vector, np.uint8)[None], blocks[:-1]))
-    return (state ^ before).tobytes()
-
-
-def decrypt(data: bytes, key_id: str | None) -> tuple[bytes | None, str | None]:
-    """(plain bytes, None) or (None, why not). Plain packages pass, whatever the id."""
+def parts(data: bytes, key_id: str | None) -> tuple[bytes | None, bytes | None, bytes | None, str | None]:
+    """(enciphered blocks, key, the rest in plain, None), (None, None, the whole, None) for a plain package whatever the id, or why not."""
     if len(data) >= 14 and data[0] == FIRST and data[13] == LAST:
-        return data, None
+        return None, None, data, None
+    why = None
     if data.startswith(MARKER) and not key_id:
-        return None, "needs a key id"
-    if key_id and not re.fullmatch("wx[a-f0-9]{16}", key_id):
-        return None, "bad key id"
-    if not data.startswith(MARKER):
-        return None, "bad header"
+        why = "needs a key id"
+    elif key_id and not re.fullmatch("wx[a-f0-9]{16}", key_id):
+        why = "bad key id"
+    elif not data.startswith(MARKER):
+        why = "bad header"
+    elif len(data) < len(MARKER) + ENCIPHERED:
+        why = "too small"
+    if why:
+        return None, None, None, why
     head, tail = data[len(MARKER) : len(MARKER) + ENCIPHERED], data[len(MARKER) + ENCIPHERED :]
-    if len(head) < ENCIPHERED:
-        return None, "too small"
-    key = hashlib.pbkdf2_hmac("sha1", key_id.encode(), SALT, ROUNDS, KEY_BYTES)
     mask = ord(key_id[-2]) if len(key_id) >= 2 else DEFAULT_XOR
-    return decipher(key, VECTOR, head)[:KEPT] + (np.frombuffer(tail, np.uint8) ^ np.uint8(mask)).tobytes(), None
+    return head, _key(key_id), (np.frombuffer(tail, np.uint8) ^ np.uint8(mask)).tobytes(), None
 
 
 def decrypted(df: DataFrame) -> DataFrame:
-    """(pkg_id, content, key_id) to (pkg_id, content, error); the ids aren't passed on."""
+    """(pkg_id, content, key_id) to (pkg_id, content, error); neither ids nor keys are passed on."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string())
         for batch in batches:
-            rows = [decrypt(c or b"", k) for c, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["pkg_id", "content", "error"])
+            rows = [parts(c or b"", k) for c, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["pkg_id", "head", "key", "rest", "error"])
 
-    return df.select("pkg_id", "content", "key_id").mapInArrow(run, "pkg_id string, content binary, error string")
+    cut = df.select("pkg_id", "content", "key_id").mapInArrow(run, "pkg_id string, head binary, key binary, rest binary, error string")
+    opened = F.substring(deciphered(F.col("head"), F.col("key"), F.lit(VECTOR)), 1, KEPT)
+    return cut.select("pkg_id", F.when(F.col("head").isNull(), F.col("rest")).otherwise(F.concat(opened, "rest")).alias("content"), "error")

@@ -106,9 +106,11 @@ def test_profile(spark):
     assert rows["std"]["index_file_count"] == 5 and rows["junk"]["index_file_count"] == 0 and rows["enc"]["needs_key_id"] and not rows["junk"]["supports_native"]
 
 
-def test_block_cipher_vector():
+def test_block_cipher_vector(spark):
     key, plain = bytes(range(32)), bytes.fromhex("00112233445566778899aabbccddeeff")
-    assert crypt.decipher(key, bytes(16), bytes.fromhex("8ea2b7ca516745bfeafc49904b496089")) == plain
+    row = [tuple(map(bytearray, (bytes.fromhex("8ea2b7ca516745bfeafc49904b496089"), key, bytes(16))))]
+    got = spark.createDataFrame(row, "blocks binary, key binary, vector binary").select(crypt.deciphered(F.col("blocks"), F.col("key"), F.col("vector")).alias("p")).first()["p"]
+    assert bytes(got) == plain
 
 
 def encrypted(spark, plain, key_id):
