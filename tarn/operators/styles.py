@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import paths
-from tarn.session import settled
+from tarn.session import discard, settled
 
 FOLDER, EXTENSION = "__shared__", ".wxss"
 #: Comments in place of what is left out or has no name of its own; {} is the sheet.
@@ -47,8 +47,11 @@ def first_visits(own: DataFrame, shared: DataFrame) -> DataFrame:
     while not changed.isEmpty():
         onward = changed.join(links, _KEY).select("pkg_id", "target", F.concat("v.place", F.array(F.col("ord").cast("int"))).alias("place"), F.concat("v.above", F.array("sheet")).alias("above"))
         found = onward.where("not array_contains(above, target)").groupBy("pkg_id", F.col("target").alias("sheet")).agg(F.min(visit).alias("new"))
+        before, last = best, changed
         changed = settled(found.join(best, _KEY, "left").where("v is null or new < v").select(*_KEY, F.col("new").alias("v")))
-        best = settled(best.unionByName(changed).groupBy(*_KEY).agg(F.min("v").alias("v")))
+        best = settled(before.unionByName(changed).groupBy(*_KEY).agg(F.min("v").alias("v")))
+        discard(before, *([last] if last is not before else []))
+    discard(links)
     return best.select(*_KEY, "v.place", "v.above")
 
 

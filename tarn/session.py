@@ -4,6 +4,8 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -25,6 +27,7 @@ def local(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSessio
 
 
 _ARCHIVE = "tarn_package.zip"
+_SETTLED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,10 +65,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, which cuts its lineage: for iterations and rows read by several plans."""
-    shared_dir(df.sparkSession)
-    kept = df.persist()  # else the checkpoint computes it a second time
-    try:
-        return kept.checkpoint()
-    finally:
-        kept.unpersist()
+    """df as a Parquet table in the shared folder, which cuts its lineage and tells joins its size: for iterations and rows read by several plans."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SETTLED[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that settled() gave, once everything that follows from them is settled, too."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
