@@ -273,10 +273,10 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src2_package_files", f"select pkg_id, ord, path, cast(size as bigint) as size, sha256 from ({_SHARED.format(pkg=PKG, name=NAME, prefix='')}) where starts_with(path, 'd1')")
 def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages written as files and read by ranges; the filter on the path is the source's, so other contents aren't read."""
+    """Packages written as files and read by ranges; the prefix is the source's, so other contents aren't read."""
     path = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
     blobs.write_packages(container.encode_table(_contents(spark, sf_dir)), path)
-    entries = blobs.read_packages(spark, path).where(F.col("path").startswith("d1"))
+    entries = blobs.read_packages(spark, path, prefix="d1")
     return entries.select("pkg_id", "ord", "path", "size", F.sha2("content", 256).alias("sha256"))
 
 

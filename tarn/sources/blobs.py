@@ -8,8 +8,8 @@ reads what the list names. A task that is lost or repeated leaves files that no
 without a list is somebody else's: all of its files are read.
 
 Reading: a task gets some files. Of a package it reads 14 bytes, then the index; of an archive its end, then the directory. Filters on the entry's
-path (equal, in, starts with) and on pkg_id are pushed down where spark.sql.python.filterPushdown.enabled is set, so contents of other
-entries aren't read; with content off none is. What is wrong with a file is a row with an error.
+path (equal, in, starts with) and on pkg_id are pushed down where spark.sql.python.filterPushdown.enabled is set, and the option prefix says the same
+in any session, so contents of other entries aren't read; with content off none is. What is wrong with a file is a row with an error.
 
 Paths: plain ones and file: URIs are opened directly, others through pyarrow's file systems.
 """
@@ -196,11 +196,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.content = options["path"].rstrip("/"), options.get("content", "true") == "true"
         self.strict, self.split = options.get("strict", "false") == "true", int(options.get("splitBytes", SPLIT))
-        self.pushed: list[Filter] = []
-
-    def pushFilters(self, filters):
-        self.pushed = filters
-        yield from _wanted(filters)[2]
+        self.pushed: list[Filter] = [StringStartsWith(("path",), options["prefix"])] if options.get("prefix") else []
 
     def partitions(self):
         wanted, parts, size = _wanted(self.pushed)[0], [], self.split
@@ -236,6 +232,14 @@ class _Reader(DataSourceReader):
             yield batch()
 
 
+class _Pushing:
+    """For sessions that push filters down; Spark refuses such a reader in others."""
+
+    def pushFilters(self, filters):
+        self.pushed = [*self.pushed, *filters]
+        yield from _wanted(filters)[2]
+
+
 def _at(file: BinaryIO, at: int, n: int) -> bytes:
     file.seek(at)
     return file.read(n)
@@ -314,7 +318,15 @@ class ArchiveReader(_Reader):
             yield i, text, n, crc, content, why
 
 
-def _source(short: str, fields: str, reader: type, writer: type) -> type:
+class PushingPackageReader(_Pushing, PackageReader):
+    pass
+
+
+class PushingArchiveReader(_Pushing, ArchiveReader):
+    pass
+
+
+def _source(short: str, fields: str, plain: type, pushing: type, writer: type) -> type:
     class Source(DataSource):
         @classmethod
         def name(cls):
@@ -324,7 +336,7 @@ def _source(short: str, fields: str, reader: type, writer: type) -> type:
             return fields
 
         def reader(self, schema):
-            return reader(self.options)
+            return (pushing if self.options.get("pushdown") == "true" else plain)(self.options)
 
         def writer(self, schema, overwrite):
             return writer(self.options)
@@ -332,8 +344,8 @@ def _source(short: str, fields: str, reader: type, writer: type) -> type:
     return Source
 
 
-PackageSource = _source("package_files", PACKAGE_FIELDS, PackageReader, PackageWriter)
-ArchiveSource = _source("archive_files", ARCHIVE_FIELDS, ArchiveReader, ArchiveWriter)
+PackageSource = _source("package_files", PACKAGE_FIELDS, PackageReader, PushingPackageReader, PackageWriter)
+ArchiveSource = _source("archive_files", ARCHIVE_FIELDS, ArchiveReader, PushingArchiveReader, ArchiveWriter)
 
 
 def _registered(spark: SparkSession) -> None:
@@ -348,10 +360,15 @@ def write_packages(packages: DataFrame, path: str) -> None:
     packages.select("pkg_id", "content").write.format("package_files").mode("append").option("path", path).save()
 
 
-def read_packages(spark: SparkSession, path: str, content: bool = True, strict: bool = False) -> DataFrame:
-    """Entries of the packages below path, as container.scan() has them, with their contents."""
+def _read(spark: SparkSession, source: str, path: str, **options: str | bool) -> DataFrame:
     _registered(spark)
-    return spark.read.format("package_files").option("path", path).option("content", str(content).lower()).option("strict", str(strict).lower()).load()
+    text = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+    return spark.read.format(source).options(path=path, pushdown=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"), **text).load()
+
+
+def read_packages(spark: SparkSession, path: str, content: bool = True, strict: bool = False, prefix: str = "") -> DataFrame:
+    """Entries of the packages below path, as container.scan() has them, with their contents; with a prefix only those whose paths begin so."""
+    return _read(spark, "package_files", path, content=content, strict=strict, prefix=prefix)
 
 
 def write_archives(files: DataFrame, path: str, prefix: str = "src") -> None:
@@ -361,7 +378,6 @@ def write_archives(files: DataFrame, path: str, prefix: str = "src") -> None:
     rows.write.format("archive_files").mode("append").option("path", path).save()
 
 
-def read_archives(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """Entries of the archives below path; without contents only their directories are read."""
-    _registered(spark)
-    return spark.read.format("archive_files").option("path", path).option("content", str(content).lower()).load()
+def read_archives(spark: SparkSession, path: str, content: bool = True, prefix: str = "") -> DataFrame:
+    """Entries of the archives below path, with a prefix only those whose paths begin so; without contents only directories are read."""
+    return _read(spark, "archive_files", path, content=content, prefix=prefix)

@@ -86,6 +86,11 @@ def test_packages_through_spark(spark, tmp_path):
     assert {(r["pkg_id"], bytes(r["content"])) for r in own.collect()} == {(f"p{i}", str(i).encode()) for i in range(20)}
     assert got.where("pkg_id in ('p1', 'p2') and path like 'pages/%' and size > 5000").select("pkg_id", "path").distinct().count() == 2
     assert blobs.read_packages(spark, path, content=False).where("content is not null").count() == 0
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert blobs.read_packages(spark, path, prefix="pages/").where("path <> 'pages/b.js'").count() == 20 and blobs.read_packages(spark, path).count() == 102
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     os.remove(tmp_path / "p" / blobs.LIST)
     assert blobs.read_packages(spark, path).where("error is not null").count() == 3
 
