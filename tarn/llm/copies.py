@@ -11,7 +11,8 @@ Each entry is compared with one pivot of each band value it has: the entry whose
 a group of edited copies is the text they were made of. A cluster of near copies therefore costs one comparison for each member and
 pivot. Band values that still mix components name the entries that are left, and these are joined by prefixes: of two sets at the
 similarity each holds one of the other's rarest shingles, as many as it may lack and one more. Shingles that one entry alone has fill most
-prefixes and join nothing, so a passage that many texts share doesn't bring them all together, and no pair is lost. Proposals are first judged by their sketches: a pair at the limit agrees in 64 of the 80 minima, give or take
+prefixes and join nothing, so a passage that many texts share doesn't bring them all together, and no pair is lost. Shingles that more than a few
+entries share are no reason to pair them all: a pivot is taken from these, and they are joined by the rarest of their differences from it (_differences). Proposals are first judged by their sketches: a pair at the limit agrees in 64 of the 80 minima, give or take
 4, and goes if it agrees in less than LEAST of them (probability 3e-7); sets are made and joined for the rest alone. Joins on
 band values are sort-merge joins, whose hot partitions adaptive execution splits. No candidate is cut by number.
 
@@ -20,6 +21,7 @@ none; texts without shingles are copies of each other. Null ids take part but ar
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Equal minima below which a pair isn't at SIMILARITY. Other similarities keep the same distance in standard deviations.
 LEAST = 44
+#: Entries with one shingle in their prefixes, up to which they are paired; times at most that more of them get a pivot, and pairs
+#: that crowds would be compared in, for each row of a prefix, up to which a pivot once is enough.
+CROWD, ROUNDS, LOAD = 16, 3, 128
 _PART = 1 << 12  # shingles hashed again at once
 
 
@@ -168,22 +173,76 @@ def _by_band(entries: DataFrame) -> DataFrame:
     return met
 
 
+def _differences(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members(entry, root, pivot) to (pivot, token, entry, root, size, d, w, at, index, probe), a written table: the shingles by which an
+    entry may meet another of its pivot. pivot 0 is the empty set.
+
+    An entry is its pivot without R and with A: d is |R| + |A|. With t = similarity / (1 + similarity) two entries are at the similarity exactly if
+    their differences share w + w' shingles, w = (t - 1/2) |pivot| + (1 - t) |R| + t |A|. Of an entry that isn't like its pivot, w is over
+    h = (1/2 - t) |pivot|. Entries that are like their pivot have a link to it, so of a pair one isn't and looks for the others (probe) whose w isn't larger
+    (index). What they share at least gives the length of each prefix: w + max(w, h) and, since w' can't be less than similarity * (w - h) - h, (1 + similarity) * (w - h).
+    """
+    t = similarity / (1 + similarity)
+    own = sets.select("entry", F.size("shingles").alias("size"), "shingles")
+    far = sets.select(F.col("entry").alias("pivot"), F.col("shingles").alias("other")).union(sets.sparkSession.range(1).select("id", F.array().cast("array<long>")))
+    both = members.select("entry", "root", "pivot").join(own, "entry").join(far.hint("merge"), "pivot")
+    both = both.withColumns({"gone": F.array_except("other", "shingles"), "come": F.array_except("shingles", "other")})
+    sized = both.withColumns({"h": (0.5 - t) * F.size("other"), "d": F.size("gone") + F.size("come"), "w": (1 - t) * F.size("gone") + t * F.size("come")}).withColumn("w", F.col("w") - F.col("h"))
+    tokens = sized.select("pivot", "entry", "root", "size", "d", "w", "h", F.explode(F.concat("gone", "come")).alias("token"))
+    tokens = written(tokens, "tokens")
+    times = written(tokens.groupBy("pivot", "token").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    group = Window.partitionBy("pivot", "entry")
+    shared = tokens.join(times.hint("merge"), ["pivot", "token"]).withColumns({"rank": F.row_number().over(group.orderBy("times", "token")), "known": F.count("*").over(group)})
+    # the d - known shingles that no other entry of the pivot has come first in the prefix
+    placed = shared.withColumn("at", F.col("d") - F.col("known") + F.col("rank"))
+    within = lambda least: F.col("at") <= F.col("d") - F.ceil(least - 1e-6) + 1
+    roles = {"index": within(F.col("w") + F.greatest("w", "h")), "probe": (F.col("w") > F.col("h") + 1e-6) & within((1 + similarity) * (F.col("w") - F.col("h")))}
+    found = written(placed.withColumns(roles).where("index or probe").select("pivot", "token", "entry", "root", "size", "d", "w", "at", "index", "probe"), "prefix")
+    discard(tokens, times)
+    return found
+
+
+def _meetings(left: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, a, b): pairs of different roots in rows of _differences, at the first shingle their differences share or at one whose place allows it."""
+    side = lambda role, u, a: left.where(role).select("pivot", "token", F.col("entry").alias(u), F.col("root").alias(a), *(F.col(c).alias(f"__{c}{u}") for c in ("size", "d", "w", "at")))
+    both = side("index", "u", "a").hint("merge").join(side("probe", "v", "b"), ["pivot", "token"])
+    sizes = F.least("__sizeu", "__sizev") >= similarity * F.greatest("__sizeu", "__sizev")
+    rest = F.least(F.col("__du") - F.col("__atu"), F.col("__dv") - F.col("__atv")) + 1 >= F.col("__wu") + F.col("__wv") - 1e-6
+    return both.where("u <> v and a <> b and __wu <= __wv").where(sizes & rest).select("u", "v", "a", "b")
+
+
 def _by_prefix(judge: _Judge, members: DataFrame) -> DataFrame:
-    """members(entry, root) to (u, v, a, b), a written table: pairs of entries, of different roots a and b, that share a shingle of their prefixes."""
-    members = written(members, "members")
+    """members(entry, root) to (u, v, a, b), a written table: pairs of entries, of different roots a and b, among them all at the similarity that no
+    path of such pairs joins.
+
+    Entries that share a shingle of their prefixes are paired where they are CROWD or fewer. Where they are more, a pivot is taken from them, the one
+    most often met in crowds, and paired with all; they go on with their differences from it, of which most are rarer. When ROUNDS of that are over, or
+    crowds have become so small that pairs are LOAD times the rows at most, all are paired.
+    """
     sets = written(_sets(judge.docs, judge.entries.join(members, "entry", "left_semi"), judge.shingle), "sets")
-    tokens = sets.select("entry", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    times = written(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
-    own = Window.partitionBy("entry")
-    shared = tokens.join(times.hint("merge"), "token").withColumns({"rank": F.row_number().over(own.orderBy("times", "token")), "known": F.count("*").over(own)})
-    # the n - known shingles that no other entry has come first in the prefix
-    length = F.col("n") - F.ceil(F.col("n") * judge.similarity - 1e-9) + 1 - (F.col("n") - F.col("known"))
-    prefix = written(shared.where(F.col("rank") <= length).select("token", "entry").join(members, "entry"), "prefix")
-    mixed = prefix.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
-    left = written(prefix.join(mixed.hint("merge"), "token"), "left")
-    pairs = left.selectExpr("token", "entry as u", "root as a").hint("merge").join(left.selectExpr("token", "entry as v", "root as b"), "token").where("u > v and a <> b")
-    pairs = written(pairs.select("u", "v", "a", "b").distinct(), "pairs")
-    discard(members, sets, times, prefix, left)
+    now, found = written(members.withColumn("pivot", F.lit(0).cast("long")), "members"), []
+    for k in range(ROUNDS + 1):
+        prefix = _differences(now, sets, judge.similarity)
+        discard(now)
+        mixed = prefix.groupBy("pivot", "token").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.count_if("index").alias("i"), F.count_if("probe").alias("p"))
+        mixed = written(mixed.where("a < b and i > 0 and p > 0").select("pivot", "token", "n", (F.col("i").cast("double") * F.col("p")).alias("load")), "mixed")
+        left = written(prefix.join(mixed.hint("merge"), ["pivot", "token"]), "left")
+        load, rows = mixed.agg(F.sum(F.when(F.col("n") > CROWD, F.col("load"))), F.sum("n")).first()
+        last = not load or k == ROUNDS or k > 0 and load <= LOAD * rows
+        found.append(written(_meetings(left if last else left.where(F.col("n") <= CROWD), judge.similarity).distinct(), "pairs"))
+        discard(prefix, mixed)
+        if last:
+            discard(left)
+            break
+        crowd = left.where(F.col("n") > CROWD)
+        score = written(crowd.groupBy("entry").agg(F.sum("n").alias("score")), "score")
+        scored = crowd.select("pivot", "token", "entry", "root").join(score.hint("merge"), "entry")
+        pivots = written(scored.groupBy("pivot", "token").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry", "root")).alias("one")).selectExpr("pivot", "token", "one.entry as next", "one.root as b"), "pivots")
+        now = written(crowd.join(pivots.hint("merge"), ["pivot", "token"]).where("entry <> next").select("entry", "root", F.col("next").alias("pivot"), "b").distinct(), "members")
+        discard(left, score, pivots)
+        found.append(written(now.where("root <> b").selectExpr("entry as u", "pivot as v", "root as a", "b"), "pairs"))
+    pairs = written(reduce(DataFrame.union, found).distinct(), "pairs")
+    discard(sets, *found)
     return pairs
 
 
