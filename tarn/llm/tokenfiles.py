@@ -26,6 +26,7 @@ import os
 import re
 import uuid
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tarn.llm import repair
-from tarn.llm.bytescan import Texts, cut, distinct, hashes, spread, strings
+from tarn.llm.bytescan import Texts, cut, distinct, hashes, spread
 from tarn.llm.warc import _open, _remove
 from tarn.session import ship
 
@@ -87,14 +88,14 @@ def pieces(block: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Pieces that the pattern leaves whole: Latin letters, digits or marks, after a blank or none. Letters beyond ASCII are two bytes, C3 80 to C9 8F, but for C3 97 and C3 B7.
-_WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+_WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])++|[0-9]++|[!-&(-/:-@\[-`{-~]++)").fullmatch
 
 
-def _letters() -> list[str]:
+def _letters() -> str:
     """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else one from U+0100 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in prints]
-    return [chr(b if b in prints else 256 + others.index(b)) for b in range(256)]
+    return "".join(chr(b if b in prints else 256 + others.index(b)) for b in range(256))
 
 
 class Pieces:
@@ -104,7 +105,7 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.half, self.letters = Tokenizer.from_str(spec), size // 2, dict(enumerate(_letters()))
+        self.tokenizer, self.half, self.letters = Tokenizer.from_str(spec), size // 2, _letters()
         self.tokenizer.encode_special_tokens = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -117,18 +118,17 @@ class Pieces:
         """The ids of each piece as unsigned 32-bit numbers."""
         if len(self.new) > self.half:
             self.old, self.new = self.new, {}
-        new, old, mixed, tokenize, letters, blank = self.new, self.old, [], self.tokenizer.model.tokenize, self.letters, self.letters[32]
+        new, old, mixed, tokenize, letters = self.new, self.old, [], self.tokenizer.model.tokenize, self.letters
         for p in found:
             if p in new:
                 continue
             if ids := old.get(p):
                 new[p] = ids
             elif _WHOLE(p):
-                text = blank + p[1:].decode("latin-1") if p[0] == 32 else p.decode("latin-1")
-                new[p] = array("I", [t.id for t in tokenize(text if text.isascii() or p.isascii() else text.translate(letters))]).tobytes()
+                new[p] = array("I", [t.id for t in tokenize(charmap_decode(p, "strict", letters)[0])]).tobytes()
             else:
                 mixed.append(p)
-        for p, e in zip(mixed, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in mixed], add_special_tokens=False), strict=True):
+        for p, e in zip(mixed, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in mixed], add_special_tokens=False), strict=True):
             new[p] = array("I", e.ids).tobytes()
         return list(map(new.__getitem__, found))
 
@@ -137,7 +137,8 @@ class Pieces:
         start, length = pieces(block)
         none = np.zeros(len(start), np.int64)
         number, members = distinct(block.data, start, length, none, hashes(block.data, start, length))
-        known = self.find(strings(block.data, start[members], length[members]).to_pylist())
+        data = block.data.tobytes()
+        known = self.find([data[i:j] for i, j in zip(start[members].tolist(), (start + length)[members].tolist(), strict=True)])
         ids, lengths = np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4
         n = lengths[number]
         sums = np.zeros(len(n) + 1, np.int64)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarn.llm import plans, repair, tokenfiles
-from tarn.llm.bytescan import cut
+from tarn.llm.bytescan import cut, distinct
 from tests.llm.texts import EDGE, frame
 
 PATH = P.path("byte_bpe_50k.json")
@@ -124,3 +124,15 @@ def test_repeats_shrink():
     one = np.zeros(1 << 18, np.uint32)
     grammar, seq, _ = repair.compress(one, np.array([len(one)]))
     assert len(seq) + len(grammar.rules) < 100 and repair.expand(grammar, seq).tolist() == one.tolist()
+
+
+@pytest.mark.parametrize("low", [0, 1, 255])
+def test_words_of_nearly_equal_hashes_stay_apart(low):
+    """Hashes that differ in their low bits only, where distinct() keeps places, are collisions, and bytes decide."""
+    words = [b"a", b"b", b"longer word", b"longer ward", b"a", b"longer word", b"b"]
+    start = np.cumsum([0, *map(len, words[:-1])])
+    length = np.array([len(w) for w in words])
+    data = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
+    h = np.array([(7 << 60) | (hash(w) & low) for w in words], np.uint64)
+    number, members = distinct(data, start, length, np.zeros(len(words), np.int64), h)
+    assert [words[members[n]] for n in number] == words and len(members) == 4
