@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import config, expressions, styles
 from tarn.plans.catalog import query
-from tarn.session import table
+from tarn.session import discard, settled, table
 
 _STYLES = """o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders),
     s as (select o_custkey, o_custkey || '-' || (i // 5) as pkg, o_orderkey, o_orderkey::varchar as sheet, (i % 5)::integer as j from o),
@@ -27,27 +27,33 @@ _STYLES = """o as (select o_custkey, o_orderkey, row_number() over (partition by
 
 def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A package of five orders of a customer, each a shared sheet, its lines the pieces (an order may have none): lines 1 and 2 import later orders, line 5 of
-    every fourth customer an earlier one, line 6 none that is there. Two files import the first three orders, two of them alone."""
-    numbered = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("i"))
-    sheets = numbered.select("o_custkey", F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.floor(F.col("i") / 5).cast("string")).alias("pkg_id"), "o_orderkey", F.col("o_orderkey").cast("string").alias("sheet"), (F.col("i") % 5).alias("j"))
-    n, j = F.col("n"), F.col("j")
+    every fourth customer an earlier one, line 6 none that is there. Two files import the first three orders, two of them alone. Both are settled."""
+    i, j, n = F.col("i"), F.col("i") % 5, F.col("n")
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    numbered = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(by_customer) - 1).alias("i"),
+        F.lead("o_orderkey").over(by_customer).alias("next"), F.lead("o_orderkey", 3).over(by_customer).alias("third"), F.lag("o_orderkey", 2).over(by_customer).alias("back"))
+    pkg = F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.floor(i / 5).cast("string")).alias("pkg_id")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    numbered_lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.row_number().over(order).alias("n"))
-    target = F.when(n == 1, j + 1).when(n == 2, j + 3).when((n == 5) & (F.col("o_custkey") % 4 == 0), j - 2)
-    lines = sheets.join(numbered_lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("pkg_id", "sheet", n.cast("int").alias("ord"), target.alias("j"), F.col("l_quantity").cast("int").cast("string").alias("q"))
-    met = lines.join(sheets.select("pkg_id", "j", F.col("sheet").alias("target")), ["pkg_id", "j"], "left")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("int").cast("string").alias("q"), F.row_number().over(order).cast("int").alias("n"))
+    target = F.when((n == 1) & (j < 4), F.col("next")).when((n == 2) & (j < 2), F.col("third")).when((n == 5) & (F.col("o_custkey") % 4 == 0) & (j > 1), F.col("back"))
+    met = numbered.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(pkg, F.col("o_orderkey").cast("string").alias("sheet"), n.alias("ord"), F.when(F.col("o_custkey").isNotNull(), target).cast("string").alias("target"), "q")
     there, ord_ = F.col("target").isNotNull(), F.col("ord")
     kind = F.when(ord_.isNull(), None).when(there | (ord_ == 6), "import").when(ord_ == 3, "rpx").when(ord_ == 5, "suffix").otherwise("text")
     value = F.when(there, F.col("target")).when(ord_ == 6, "none").when(ord_ == 3, F.col("q")).otherwise(F.concat(F.lit("q"), F.col("q"), F.lit(";")))
     shared = met.select("pkg_id", "sheet", "ord", kind.alias("kind"), value.alias("value"))
-    text = sheets.where("j = 0").selectExpr("pkg_id", "'a.wxss' as file", "0 as file_ord", "0 as call", "0 as ord", "'text' as kind", "'a' as value")
-    imports = sheets.where("j < 3").selectExpr("pkg_id", "if(j = 1, 'd/b.wxss', 'a.wxss') as file", "if(j = 1, 1, 0) as file_ord", "if(j = 2, 1, 0) as call", "if(j = 0, 1, 0) as ord", "'import' as kind", "sheet as value")
-    return text.unionByName(imports), shared
+    sheets = numbered.select(pkg, F.col("o_orderkey").cast("string").alias("sheet"), j.alias("j"))
+    text = F.when(F.col("j") == 0, F.struct(F.lit(0).alias("ord"), F.lit("text").alias("kind"), F.lit("a").alias("value")))
+    piece = F.struct(F.when(F.col("j") == 0, 1).otherwise(0).alias("ord"), F.lit("import").alias("kind"), F.col("sheet").alias("value"))
+    own = sheets.where("j < 3").select("pkg_id", F.expr("if(j = 1, 'd/b.wxss', 'a.wxss') as file"), F.expr("if(j = 1, 1, 0) as file_ord"), F.expr("if(j = 2, 1, 0) as call"), F.explode(F.array_compact(F.array(text, piece))).alias("x"))
+    return settled(own.select("pkg_id", "file", "file_ord", "call", "x.*")), settled(shared)
 
 
 @query("r17_imports", f"with recursive {_STYLES} select pkg as pkg_id, sheet, imports, action, file from h")
 def style_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return styles.sheet_files(*_pieces(spark, sf_dir))
+    own, shared = _pieces(spark, sf_dir)
+    sheets = styles.sheet_files(own, shared)
+    discard(own, shared)
+    return sheets
 
 
 @query("r17_styles", f"""with recursive {_STYLES},
@@ -65,7 +71,10 @@ def style_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     select n.pkg as pkg_id, n.file, coalesce(string_agg(text, '' order by place), '') as text from (select distinct pkg, file from f union select pkg, file from h where file is not null) n left join t on t.pkg = n.pkg and t.file = n.file group by all""")
 def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, shared = _pieces(spark, sf_dir)
-    return styles.rebuilt(own, shared, styles.sheet_files(own, shared))[0]
+    sheets = styles.sheet_files(own, shared)
+    files, _ = styles.rebuilt(own, shared, sheets)
+    discard(own, shared, sheets)
+    return files
 
 
 _TREE = """k as (select o_orderkey, o_orderkey % 6 as i, o_custkey % 5 as j, 'a' || o_orderkey as a, o_custkey as c from orders),

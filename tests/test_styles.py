@@ -1,7 +1,11 @@
 import random
+import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tarn import session
+from tarn.functions import paths
 from tarn.operators import styles
 
 OWN = "pkg_id string, file string, file_ord int, call int, ord int, kind string, value string"
@@ -130,3 +134,42 @@ def test_blocked_and_empty(spark):
     empty = spark.createDataFrame([], OWN), spark.createDataFrame([], SHARED)
     sheets = styles.sheet_files(*empty)
     assert sheets.collect() == [] and [x.collect() for x in styles.rebuilt(*empty, sheets)] == [[], []]
+
+
+def test_links_equal_relative_paths(spark):
+    folders = ["", "a/", "a/b/", "a//b/", "/a/", "//", "b/a/", "a/b/c/", "./a/", "../", "ab/"]
+    names = [f"{x}{y}" for x in folders for y in ("a", "x.wxss", "b.c.d")]
+    df = spark.createDataFrame([(x, y) for x in names for y in names], "file string, home string")
+    said = styles._import(F.col("file"), F.col("home"), ".wxss")
+    plain = F.concat(F.lit('@import "'), paths.change_extension(paths.relative(F.col("file"), F.col("home")), ".wxss"), F.lit('";\n'))
+    assert df.select("*", *styles._views(F.col("file"))).where(said != plain).collect() == []
+
+
+def test_files_need_no_pieces_any_more(spark):
+    """What the pieces were made from, and the tables between, can go before the files are read."""
+    own, shared = map(session.settled, tables(spark, PACKAGES))
+    folder = Path(re.sub("^file:/+", "/", session.shared_dir(spark)))
+    there = lambda: {p.name for p in folder.glob("settled-*")}
+    before = there()
+    sheets = styles.sheet_files(own, shared)
+    assert len(there() - before) == 1
+    expected = [sorted(df.collect()) for df in styles.rebuilt(own, shared, sheets)]
+    before = there()
+    found = styles.rebuilt(own, shared, sheets)
+    made = there() - before
+    session.discard(own, shared, sheets)
+    assert [sorted(df.collect()) for df in found] == expected
+    assert {f.split("/")[-2] for f in found[0].inputFiles()} == made
+
+
+def test_own_file_with_a_shared_name(spark):
+    check(spark, {"p": ([("__shared__/1.wxss", [["own", "own too"]]), ("b.wxss", [[I("1"), I("1")]])], {"1": ["one", I("2"), "more"], "2": ["two"]})})
+
+
+def test_no_shuffle_files_stay(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    stay = lambda: {x.toString() for x in (found.apply(i) for found in [manager.getAllFiles()] for i in range(found.size())) if "shuffle_" in x.toString()}
+    before = stay()
+    table = session.settled(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert stay() <= before
+    assert len(table.collect()) == 7
